@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["survivor", "page_repair", "source_hygiene"]
+MODULES = ["survivor", "page_repair", "source_hygiene", "text_quality"]
 
 
 def collect(kind: str) -> dict:
