@@ -91,7 +91,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(t, r"[^ÃÂ€™�¢¬]+", "")).cast("long").alias("n_mojibake"),
         _n(t, r"(?<!\S)\S+(?!\S)").alias("n_tokens"),
         F.length(F.regexp_replace(t, r"(?<!\S)\S{1,24}(?!\S)|\s+", "")).cast("long").alias("ink_long_tokens"),
-        _n(t, r"\p{L}[|~^;:0-9]+\p{L}|[|~^;']\p{L}?(?!\S)|(?<!\S)[|~^;:]\p{L}|\p{L}[|~^]|\p{L}\d|\d\p{L}").alias("n_broken_words"),
+        _n(t, r"\p{L}[|~^;:][\p{L}\d|~^]|\p{L}[|~^](?!\S)|\p{L}\d|\d\p{L}|'[\dIl|](?!\S)").alias("n_broken_words"),
         _n(t, "(?m)" + _END).alias("n_ended_lines"),
         _n(t, r"\p{L}[\"”’)]?[.!?…](?=[\"'”’)\]]?(?:\s|$))").alias("n_sentences"),
         _n(t, "(?m)" + _BULLET).alias("n_bullets"),
@@ -151,12 +151,12 @@ def judged(stats: DataFrame) -> DataFrame:
     junk = [
         ("blank", (words == 0) | (F.col("n_letters") < 2)),
         ("dump of bytes", hexed),
-        ("encoded text", _share("ink_long_tokens", "n_ink") > 0.5),
+        ("encoded text", ~is_table & (_share("ink_long_tokens", "n_ink") > 0.5)),
         ("wrong character set", _share("n_mojibake", "n_ink") > 0.08),
         ("few letters", ~is_table & ((letters < 0.5) | ((letters < 0.6) & low_lines)) & (clauses < 0.2)),
         ("symbols", ~is_table & (_share("n_symbols", "n_ink") > 0.25)),
         ("repeated lines", (lines >= 5) & (_share("n_distinct_lines", "n_lines") <= 0.3)),
-        ("repeated words", (words >= 16) & (F.col("n_distinct_words") <= F.greatest(F.lit(4), words * 0.04))),
+        ("repeated words", (words >= 16) & (F.col("n_distinct_words") <= 6)),
         ("no vowels", (words >= 3) & (_share("n_vowels", "n_letters") < 0.2)),
         ("navigation", (_share("ink_nav", "n_ink") > 0.5) & ~is_table & (clauses < 0.1)),
         ("broken words", ~is_table & (_share("n_broken_words", "n_tokens") > 0.3) & (clauses < 0.2)),
