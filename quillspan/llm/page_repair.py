@@ -76,21 +76,31 @@ def featured(lines: DataFrame, notebooks: DataFrame) -> DataFrame:
     )
     known = notebooks.groupBy("notebook_id").agg(F.array_distinct(F.flatten(F.collect_list(names))).alias("_names"))
     text = F.coalesce("text", F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"[\^~;'@`]", "")
+    # only a short line that stands alone, or nearly so, can be a head or a number; the rest is not looked at
+    short = (F.length(text) <= 64) & (F.coalesce("par_size", F.lit(1)) <= 2)
+    bare = F.when(short, F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"[\^~;'@`]", ""))
     numbered = r"(?i)(?:\b(?:page|pg|p)\.?\s*)?\b[0-9lIoO|]{1,4}\b|^[ivxlc]+\s+(?=\S)|\s+[ivxlc]+$"
-    joined = lines.select(
-        "packet_id", "page_no", "n", "notebook_id", "par_size", "gap_before", "received_at", text.alias("text"),
-        bare.alias("_bare"),
-    ).join(known, "notebook_id", "left")
-    short = (F.length("_bare") <= 64) & F.col("_names").isNotNull()
-    keys = [_squash(F.col("_bare")), _squash(F.regexp_replace("_bare", numbered, ""))]
+    joined = (
+        lines.select(
+            "packet_id", "page_no", "n", "notebook_id", "par_size", "gap_before", "received_at", text.alias("text"),
+            bare.alias("_bare"),
+        )
+        .join(known, "notebook_id", "left")
+        .withColumn("_key", _squash(F.col("_bare")))
+        .withColumn("_key2", _squash(F.regexp_replace("_bare", numbered, "")))
+    )
 
     def near(name: Column) -> Column:
         slack = F.greatest(F.lit(1), (F.length(name) / 5).cast("int"))
-        return (F.levenshtein(keys[0], name) <= slack) | (F.levenshtein(keys[1], name) <= slack)
+
+        def close(key: str) -> Column:
+            return (F.abs(F.length(key) - F.length(name)) <= slack) & (F.levenshtein(F.col(key), name) <= slack)
+
+        return close("_key") | close("_key2")
 
     look = (
-        F.when(short & F.exists("_names", near), 1)
+        F.when(F.col("_bare").isNull(), 0)
+        .when(F.col("_names").isNotNull() & F.coalesce(F.exists("_names", near), F.lit(False)), 1)
         .when(F.col("_bare").rlike("(?i)" + STRONG) & F.col("_bare").rlike(r"[0-9lI]") | F.col("_bare").rlike(ROMAN), 2)
         .when(F.col("_bare").rlike(WEAK) & F.col("_bare").rlike(r"[0-9lI]"), 3)
         .otherwise(0)
@@ -129,11 +139,11 @@ def blocked(lines: DataFrame) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Lower-case words without edge punctuation; the first half of a broken word at the line's end is left out."""
-    edge = "[" + re.escape(EDGES).replace("\\-", "-").replace("-", "\\-") + "]+"
-    whole = F.regexp_replace(F.lower(text), rf"\S+[{BREAKS[1:]}\-]\s*$", "")
+    spaced = F.translate(F.lower(text), "\t\n\r\u00a0\u2009", "     ")
+    cut_off = F.substring(F.rtrim(spaced), -1, 1).isin(list(BREAKS))
+    whole = F.when(cut_off, F.regexp_replace(spaced, r"\S+\s*$", "")).otherwise(spaced)
     return F.filter(
-        F.transform(F.split(whole, r"(?U)\s+"), lambda w: F.regexp_replace(w, f"^{edge}|{edge}$", "")),
-        lambda w: F.length(w).between(1, 40),
+        F.transform(F.split(whole, " "), lambda w: F.btrim(w, F.lit(EDGES))), lambda w: F.length(w).between(1, 40)
     )
 
 
@@ -606,14 +616,16 @@ _OUT = (
 )
 
 
-def fitted(lines: DataFrame, fit_pages: int = 1500):
+def fitted(lines: DataFrame, notebooks: DataFrame, fit_pages: int = 1500):
     """The model, from the ``fit_pages`` pages of smallest hash and at most 400 lines of each."""
     pages = (
         lines.select("packet_id", "page_no").distinct().orderBy(F.xxhash64("packet_id", "page_no")).limit(fit_pages)
     )
+    picked = lines.where("n <= 400").join(
+        F.broadcast(pages), ["packet_id", "page_no"], "left_semi"  # at most fit_pages rows
+    )
     sample = (
-        lines.where("n <= 400")
-        .join(F.broadcast(pages), ["packet_id", "page_no"], "left_semi")  # at most fit_pages rows
+        featured(picked, notebooks)
         .withColumns({"blk": F.lit(0), "slice": F.lit(0), "ctx": F.lit(0)})
         .toPandas()
         .sort_values(["packet_id", "page_no", "n", "at"])
@@ -628,7 +640,7 @@ def repaired(lines: DataFrame, notebooks: DataFrame, fit_pages: int = 1500) -> D
     """One row per line with its label, defects and mended text."""
     spark = lines.sparkSession
     base = featured(lines, notebooks)
-    model = fitted(base, fit_pages)
+    model = fitted(lines, notebooks, fit_pages)
     # a fixed number of cells, whatever the size of the corpus
     held = spark.sparkContext.broadcast(sketched(lines.select(F.coalesce("text", F.lit("")).alias("text"))))
 
@@ -660,7 +672,7 @@ def paragraphs(lines: DataFrame, notebooks: DataFrame) -> DataFrame:
     """
     spark = lines.sparkSession
     base = featured(lines, notebooks)
-    model = fitted(base)
+    model = fitted(lines, notebooks)
     held = spark.sparkContext.broadcast(sketched(lines.select(F.coalesce("text", F.lit("")).alias("text"))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
