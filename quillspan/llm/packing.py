@@ -1,6 +1,6 @@
 """Filling containers of fixed capacity with whole texts.
 
-Method: a linear grouping scheme. Sizes above an eighth of the capacity are large. Their histogram is cut into groups of
+Method: a linear grouping scheme. Sizes above a quarter of the capacity are large. Their histogram is cut into groups of
 equal cardinality and every size rounded up to the largest of its group, which leaves a few sizes; how many containers to
 fill by which configuration of these sizes is a linear program, solved by column generation (pricing is a knapsack over
 the capacity). Rounded-down counts of configurations become containers, the rest is filled first-fit. Then actual texts
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from quillspan.llm.tokens import VOCABULARY, counted
 from quillspan.session import cut
 
-LARGE = 8  # a text above capacity / LARGE is large
+LARGE = 4  # a text above capacity / LARGE is large
 UNITS = 512  # sizes are rounded up to capacity / UNITS for pricing
-GROUPS = 32
+GROUPS = 96
 
 
 def linear_groups(sizes: np.ndarray, counts: np.ndarray, groups: int = GROUPS) -> np.ndarray:

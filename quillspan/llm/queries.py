@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["survivor", "page_repair", "source_hygiene", "text_quality", "packing", "subjects"]
+MODULES = ["survivor", "page_repair", "source_hygiene", "text_quality", "packing", "mixing", "subjects"]
 
 
 def collect(kind: str) -> dict:
