@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.tokens import VOCABULARY, counted
@@ -150,13 +150,12 @@ def report(documents: DataFrame, targets: DataFrame, mix: DataFrame, tokenizer:
     per = used.groupBy("source").agg(
         F.sum("t").alias("tokens_used"), F.count(F.lit(1)).alias("texts_used"), F.max("uses").alias("most_uses")
     )
-    whole = per.agg(F.sum("tokens_used").alias("_all"))
     aims = targets.groupBy(_named("source").alias("source")).agg(
         F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
     )
     return (
         aims.join(per, "source", "left")
-        .join(F.broadcast(whole), how="cross")  # one row
+        .withColumn("_all", F.sum("tokens_used").over(Window.partitionBy(F.lit(0))))  # as many rows as targets
         .select(
             "source",
             "target_share",

@@ -123,13 +123,16 @@ def slots(used: list[tuple[np.ndarray, int]], groups: int) -> dict[int, tuple[np
 
 def pieces(sized: DataFrame, containers: DataFrame) -> DataFrame:
     """(container, capacity, doc_id, piece, tokens): a row for each text and container; oversize texts in pieces."""
-    kinds = containers.where("capacity_tokens > 0").select("container", F.col("capacity_tokens").alias("capacity"))
+    # the containers table is fixed: a few rows, put into the plan as literals, so that texts are multiplied by no join
+    kinds = sorted({(r[0], r[1]) for r in containers.where("capacity_tokens > 0").select("container", "capacity_tokens").collect()})
+    if not kinds:
+        return sized.sparkSession.createDataFrame([], "container string, capacity int, doc_id long, piece int, tokens int")
+    listed = F.array(*[F.struct(F.lit(k).alias("container"), F.lit(c).alias("capacity")) for k, c in kinds])
     parts = F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int")
     last = F.col("n_tokens") - (parts - 1) * F.col("capacity")
     return (
         sized.where("n_tokens > 0")
-        .select("doc_id", "n_tokens")
-        .crossJoin(F.broadcast(kinds.distinct()))  # the containers table is fixed: a few rows
+        .select("doc_id", "n_tokens", F.inline(listed))
         .select(
             "container",
             "capacity",
