@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["nested"]
+MODULES = ["catalog", "text", "transcript", "nested"]
 
 
 def collect(kind: str) -> dict:
