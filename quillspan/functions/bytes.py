@@ -112,11 +112,15 @@ def combined(shares: list[tuple[int, Column]]) -> Column:
                 num = _EXP[(_LOG[num] + _LOG[xj]) % 255]
                 den = _EXP[(_LOG[den] + _LOG[xi ^ xj]) % 255]
         w = _EXP[(_LOG[num] - _LOG[den]) % 255]
-        term = F.transform(y, lambda b, w=w: field_product(b, F.lit(w)))
+        term = _scaled(y, w)
         out = term if out is None else F.zip_with(out, term, lambda a, b: a.bitwiseXOR(b))
     return out
 
 
+def _scaled(values: Column, by: int) -> Column:
+    return F.transform(values, lambda b: field_product(b, F.lit(by)))
+
+
 def share_text(x: int, y: Column) -> Column:
     """Hexadecimal: the index byte, then the share."""
     return F.concat(F.lit(f"{x:02x}"), F.array_join(F.transform(y, lambda b: F.lower(F.lpad(F.hex(b), 2, "0"))), ""))

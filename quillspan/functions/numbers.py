@@ -67,7 +67,7 @@ def band_rms(samples: Column, rate: int, low: float, high: float) -> Column:
     for hz in range(math.ceil(low), math.floor(high) + 1):
         step = 2 * math.pi * hz / rate
         pair = F.aggregate(
-            F.transform(tail, lambda v, i, s=step: F.struct((v * F.sin(i * s)).alias("a"), (v * F.cos(i * s)).alias("b"))),
+            _projected(tail, step),
             F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")),
             lambda acc, x: F.struct((acc["a"] + x["a"]).alias("a"), (acc["b"] + x["b"]).alias("b")),
         )
@@ -77,6 +77,10 @@ def band_rms(samples: Column, rate: int, low: float, high: float) -> Column:
     return F.when(n >= 32, F.sqrt(total / (2 * kinds))) if kinds else F.lit(None).cast("double")
 
 
+def _projected(samples: Column, step: float) -> Column:
+    return F.transform(samples, lambda v, i: F.struct((v * F.sin(i * step)).alias("a"), (v * F.cos(i * step)).alias("b")))
+
+
 def cue(rms: Column, threshold: float) -> Column:
     """Three states: waiting without a figure, on from the threshold, else off."""
     return F.when(rms.isNull(), "waiting").when(rms >= threshold, "on").otherwise("off")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalog", "text", "transcript", "nested"]
+MODULES = ["catalog", "text", "transcript", "nested", "reconcile", "events", "codec", "ledger"]
 
 
 def collect(kind: str) -> dict:
