@@ -271,10 +271,15 @@ def _jpeg(data: bytes) -> dict | None:
     return None
 
 
-@F.pandas_udf("struct<width:int,height:int>")
-def jpeg_size(data: pd.Series) -> pd.DataFrame:
-    found = [(_jpeg(bytes(d)) if d is not None else None) or {"width": None, "height": None} for d in data]
-    return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
+def jpeg_size(data: Column) -> Column:
+    """struct(width, height) of a picture, both null where it is none."""
+
+    @F.pandas_udf("struct<width:int,height:int>")
+    def size(batch: pd.Series) -> pd.DataFrame:
+        found = [(_jpeg(bytes(d)) if d is not None else None) or {"width": None, "height": None} for d in batch]
+        return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
+
+    return size(data)
 
 
 def _bdecode(data: bytes, at: int = 0):
@@ -296,17 +301,21 @@ def _bdecode(data: bytes, at: int = 0):
     return text.decode("latin1"), colon + 1 + n
 
 
-@F.pandas_udf("string")
-def bencode_json(data: pd.Series) -> pd.Series:
+def _bencode_json(d: bytes | None) -> str | None:
+    try:
+        return None if d is None else json.dumps(_bdecode(bytes(d))[0], sort_keys=True)
+    except (ValueError, IndexError, TypeError):
+        return None
+
+
+def bencode_json(data: Column) -> Column:
     """Bencoded bytes as JSON text; null where they are broken."""
 
-    def one(d):
-        try:
-            return None if d is None else json.dumps(_bdecode(bytes(d))[0], sort_keys=True)
-        except (ValueError, IndexError, TypeError):
-            return None
+    @F.pandas_udf("string")
+    def decode(batch: pd.Series) -> pd.Series:
+        return batch.map(_bencode_json)
 
-    return data.map(one)
+    return decode(data)
 
 
 def json_safe(data: Column, limit: int = 4096) -> Column:

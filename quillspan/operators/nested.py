@@ -35,6 +35,11 @@ def _elements(v: Column, path: str) -> Column:
     )
 
 
+def _given(v: Column, value: Column) -> Column:
+    """``value`` unless the element is null or JSON's null."""
+    return F.when(v.isNotNull() & ~F.is_variant_null(v), value)
+
+
 def _none(kind: str) -> Column:
     return F.expr(f"cast(array() as array<{kind}>)")
 
@@ -56,7 +61,7 @@ def _word_v(w: Column) -> Column:
 
 
 def _line_v(ln: Column) -> Column:
-    return F.struct(
+    return _given(ln, F.struct(
         _get(ln, "$.id", "string").alias("id"),
         _get(ln, "$.n", "int").alias("n"),
         _get(ln, "$.text", "string").alias("text"),
@@ -66,17 +71,17 @@ def _line_v(ln: Column) -> Column:
         _get(ln, "$.kind", "string").alias("kind"),
         _get(ln, "$.raw", "string").alias("raw"),
         F.transform(_elements(ln, "$.words"), _word_v).alias("words"),
-    )
+    ))
 
 
 def _par_v(p: Column, page: Column | None = None) -> Column:
     own = _get(p, "$.page", "int")
-    return F.struct(
+    return _given(p, F.struct(
         _get(p, "$.id", "string").alias("id"),
         (F.coalesce(own, page) if page is not None else own).alias("page"),
         _get(p, "$.bbox", _BOX).alias("bbox"),
         F.transform(_elements(p, "$.lines"), _line_v).alias("lines"),
-    )
+    ))
 
 
 def parsed(packets: DataFrame) -> DataFrame:
