@@ -364,13 +364,21 @@ def _weak_labels() -> np.ndarray:
     return may[look]
 
 
+def _possible(emit: np.ndarray) -> np.ndarray:
+    """``emit`` without what the words rule out: a head looks like a title, a page number like a number."""
+    look = np.arange(SYMBOLS) // (SYMBOLS // _LOOKS)
+    may = np.array([[0, 0, 1, 1], [1, 0, 1, 1], [0, 1, 1, 1], [0, 1, 1, 1]], dtype=float)
+    out = emit * may[look].T + 1e-12
+    return out / out.sum(1, keepdims=True)
+
+
 def fit(symbols: np.ndarray, first: np.ndarray, rounds: int = 6, weight: float = 200.0):
     """Baum-Welch from the prior, which counts as ``weight`` lines per state, so that rare symbols keep their meaning."""
     may = _weak_labels()
     start0, step0, emit0 = _prior()
     start, step, emit = start0.copy(), step0.copy(), emit0.copy()
     if len(symbols) == 0:
-        return start, step, emit
+        return start, step, _possible(emit)
     grid, length, _ = _padded(symbols, first)
     pages, longest = grid.shape
     for _ in range(rounds):
@@ -400,7 +408,7 @@ def fit(symbols: np.ndarray, first: np.ndarray, rounds: int = 6, weight: float =
         step = n_step + weight * step0
         emit = n_emit + weight * emit0
         start, step, emit = start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
-    return start, step, emit
+    return start, step, _possible(emit)
 
 
 def decode(model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -50,7 +50,7 @@ class Params:
     """Bounds of the fit and the calibrated acceptance."""
 
     max_labelled: int = 20_000
-    least_ratio: float = 2.0  # how far a word's probability must exceed the background's
+    least_ratio: float = 2.0  # how far a word's probability must exceed that in the other subjects
     sigmas: float = 1.7  # ... at its lower confidence bound
     pair_weight: float = 0.2
     word_weight: float = 0.4  # the rest is background
@@ -186,13 +186,19 @@ def estimate(own: pd.DataFrame, back: pd.DataFrame, size: int, p: Params) -> Mod
         pair = np.array([" " in g for g in grams])
         base = np.maximum(b.reindex(grams).fillna(0.0).to_numpy(), count.sum(1)) / total
         prob = np.zeros_like(count)
+        # what a subject is compared with: the corpus, and for the subject's own words the corpus without the subject
+        ground = np.repeat(base[:, None], size, axis=1)
         for s in range(size):
             n = count[:, s]
             if tokens[s] <= 0:
                 continue
-            sure = (n - p.sigmas * np.sqrt(n)) / tokens[s] > p.least_ratio * base
+            # what the other subjects' texts hold of it; a subject's own share of the corpus must not hide its words
+            others = (count.sum(1) - n + 200 * base) / (tokens.sum() - tokens[s] + 200)
+            sure = (n - p.sigmas * np.sqrt(n)) / tokens[s] > p.least_ratio * others
+            ground[sure, s] = np.minimum(base, np.maximum(others, base / 20))[sure]
             for kind in (pair, ~pair):
-                q = _parsimonious(np.where(kind, n, 0.0), base)
+                # one huge text must not make its own words background
+                q = _parsimonious(np.where(kind, n, 0.0), np.minimum(base, others))
                 prob[kind & sure, s] = q[kind & sure]
         word_base = dict(zip(grams[~pair], base[~pair], strict=True))
         row = {g: k for k, g in enumerate(grams)}
@@ -200,7 +206,7 @@ def estimate(own: pd.DataFrame, back: pd.DataFrame, size: int, p: Params) -> Mod
         out = np.zeros_like(prob)
         # words: the pair's share falls to the word where the pair is unknown
         lam = p.word_weight + p.pair_weight
-        out[~pair] = np.log((lam * prob[~pair] + (1 - lam) * base[~pair, None]) / base[~pair, None])
+        out[~pair] = np.log((lam * prob[~pair] + (1 - lam) * ground[~pair]) / ground[~pair])
         for k in np.flatnonzero(pair):
             a, w = grams[k].split(" ", 1)
             i = row.get(w)
@@ -208,10 +214,9 @@ def estimate(own: pd.DataFrame, back: pd.DataFrame, size: int, p: Params) -> Mod
                 continue
             first = count[row[a]] if a in row else np.zeros(size)
             cond = np.where(prob[k] > 0, count[k] / np.maximum(first, 1.0), 0.0)
-            base2 = base[k] / max(word_base[a], 1e-12)
-            mixed = p.pair_weight * cond + p.word_weight * prob[i] + rest * base[i]
-            ground = p.pair_weight * base2 + (1 - p.pair_weight) * base[i]
-            out[k] = np.log((mixed + p.pair_weight * np.where(cond > 0, 0.0, base2)) / ground)
+            base2 = ground[k] / max(word_base[a], 1e-12)
+            mixed = p.pair_weight * np.where(cond > 0, cond, base2) + p.word_weight * prob[i] + rest * ground[i]
+            out[k] = np.log(mixed / (p.pair_weight * base2 + (1 - p.pair_weight) * ground[i]))
         keep = np.where(pair, (prob > 0).any(1), (prob > 0).any(1))
         index[lang] = {g: k for k, g in enumerate(grams[keep])}
         scores[lang] = out[keep]
@@ -242,10 +247,11 @@ def trained(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p: Par
 
 def shares(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, subject, of_text, of_attributed): the share of each subject that any sentence went to."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    # plain values: workers need not know the class
+    held = documents.sparkSession.sparkContext.broadcast((model.index, model.scores, model.size))
 
     def run(frames: Iterator[pd.DataFrame], margin: float = Params.margin) -> Iterator[pd.DataFrame]:
-        m = held.value
+        m = Model(*held.value)
         for f in frames:
             rows = []
             for doc, text in zip(f["doc_id"], f["text"], strict=True):
