@@ -96,3 +96,9 @@ def listings(files: DataFrame, latest: bool) -> DataFrame:
 
 def running_number(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("row_no", F.row_number().over(Window.orderBy(by)))
+
+
+def labelled(rows: DataFrame, labels: DataFrame, address: str, label: str, default: str = "") -> DataFrame:
+    """``rows`` with the label of their address; of several labels the first by name, ``default`` for none."""
+    one = labels.groupBy(address).agg(F.min(label).alias(label))
+    return rows.join(one, address, "left").withColumn(label, F.coalesce(label, F.lit(default)))

@@ -268,3 +268,18 @@ def revalidated(replies: DataFrame, known_lines: DataFrame, exceptions: DataFram
         F.coalesce("unresolved", F.expr("cast(array() as array<string>)")).alias("unresolved"),
         pairs.alias("corrections"),
     )
+
+
+def reply_statistics(checked: DataFrame) -> DataFrame:
+    """One row over :func:`revalidated`: findings, exact ones, and those where model and count agree."""
+    return checked.agg(
+        F.count(F.lit(1)).alias("findings"),
+        F.count_if(F.col("validation") == "exact").alias("exact"),
+        F.count_if(F.coalesce("agree", F.lit(False))).alias("agreed"),
+    )
+
+
+def digest_totals(chosen: DataFrame) -> DataFrame:
+    """One row: pages with accepted verse, and accepted verse in all."""
+    per = chosen.where("accepted").groupBy(*_PAGE).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("verses"))

@@ -64,7 +64,14 @@ def _priority(s, d):
     return cg.by_priority(docs, "sha256", F.col("rank"), "doc_id").select("sha256", "doc_id", "source", "rank")
 
 
+def _labels(s, d):
+    nations = table(s, d, "nation").select(F.col("n_nationkey").alias("address"), F.col("n_name").alias("label"))
+    owners = table(s, d, "customer").select("c_custkey", (F.col("c_nationkey") + 3).alias("address"))
+    return cg.labelled(owners, nations, "address", "label").select("c_custkey", "label")
+
+
 QUERIES = {
+    "code_labels": _labels,
     "catalog_redundancy": lambda s, d: cg.redundancy(_docs(s, d)),
     "catalog_summary": lambda s, d: cg.summary(_docs(s, d)),
     "catalog_rows": _rows,
@@ -94,6 +101,7 @@ r as (select case when fam = '' then 'untitled' else fam end family, count(*) bu
 """
 
 ORACLE = {
+    "code_labels": "select c_custkey, coalesce(n_name, '') label from customer left join nation on n_nationkey = c_nationkey + 3",
     "catalog_redundancy": _DOCS + """
 select sha256, count(*) copies, min(doc_id) first_id, max(bytes) bytes from docs group by sha256 having count(*) > 1""",
     "catalog_summary": _DOCS + """, per as (select sha256, count(*) n, sum(bytes) b from docs group by sha256)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import numbers as nm
 from quillspan.operators import events as ev
 from quillspan.session import table
+from quillspan.sources.feeds import bounded_tail
 
 
 def _events(s, d):
@@ -73,7 +74,13 @@ def _by_cust():
     return Window.partitionBy("o_custkey").orderBy("o_orderkey")
 
 
+def _tails(s, d):
+    tail = bounded_tail(F.col("embedding"), 10)
+    return table(s, d, "embeddings").select("vec_id", F.size(tail).alias("n"), F.get(tail, F.lit(0)).cast("double").alias("first"))
+
+
 QUERIES = {
+    "bounded_tails": _tails,
     "sequence_gaps": lambda s, d: ev.gaps(_events(s, d), "user_id", "event_id").select("event_id", "user_id", "missing"),
     "monotone_reject": lambda s, d: ev.monotone(_events(s, d), "user_id", ["ts", "event_id"], "event_id").select("event_id", "rejected"),
     "ring_last_12": lambda s, d: ev.ring(_events(s, d), "user_id", [F.desc("ts"), F.desc("event_id")], 12).select("event_id", "user_id", "age"),
@@ -97,6 +104,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "bounded_tails": 'select vec_id, 10 n, cast(embedding[len(embedding) - 9] as double) "first" from embeddings',
     "sequence_gaps": "select event_id, user_id, greatest(coalesce(event_id - lag(event_id) over (partition by user_id order by event_id) - 1, 0), 0) missing from events",
     "monotone_reject": """select event_id, coalesce(event_id <= max(event_id) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), false) rejected from events""",
     "ring_last_12": """select event_id, user_id, cast(a as int) age from (select event_id, user_id, row_number() over (partition by user_id order by ts desc, event_id desc) a from events) where a <= 12""",

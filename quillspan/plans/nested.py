@@ -31,7 +31,8 @@ inner_body as (select delivery_id, case when json_type(j) = 'VARCHAR'
    then case when json_valid(j ->> '$') then cast(j ->> '$' as json) end else j end j from outer_body),
 paged as (select delivery_id, case when json_extract(j, '$.paragraphs') is not null then {_LIST.format("json_extract(j, '$.paragraphs')")}
    else flatten(list_transform({_LIST.format("json_extract(j, '$.pages')")},
-     lambda pg: {_LIST.format("json_extract(pg, '$.paragraphs')")})) end pars from inner_body),
+     lambda pg: list_transform({_LIST.format("json_extract(pg, '$.paragraphs')")}, lambda par: case when json_type(par) = 'OBJECT'
+      and par ->> '$.page' is null then json_merge_patch(par, json_object('page', json_extract(pg, '$.n'))) else par end))) end pars from inner_body),
 tree as (select delivery_id, cast(pars as json[]) pars from typed union all select delivery_id, pars from paged),
 p as (select delivery_id, unnest(pars) par, generate_subscripts(pars, 1) - 1 par_pos from tree),
 l0 as (select delivery_id, par_pos, {_LIST.format("json_extract(par, '$.lines')")} ls from p),
@@ -50,4 +51,8 @@ ORACLE = {
     + f"""select delivery_id, cast(par_pos as int) par_pos, cast(line_pos as int) line_pos, cast(word_pos as int) word_pos,
  case json_type(word) when 'OBJECT' then word ->> '$.id' end word_id, "text",
  case json_type(word) when 'OBJECT' then cast(word ->> '$.conf' as double) end conf from t {_HERE}""",
+    "p2_paragraphs": _TREE
+    + f"""select delivery_id, cast(par_pos as int) par_pos, cast(par ->> '$.page' as int) page, par ->> '$.id' par_id,
+ cast(len(list_filter({_LIST.format("json_extract(par, '$.lines')")}, lambda x: x is not null and json_type(x) <> 'NULL')) as int) n_lines
+ from p where par is not null and json_type(par) <> 'NULL'""",
 }

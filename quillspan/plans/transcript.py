@@ -101,6 +101,7 @@ QUERIES = {
     "verse_candidates": lambda s, d: _candidates(s, d).select(*_PAGE, "n", "deviation", "milli", "form", "validation"),
     "verse_selected": lambda s, d: vs.selected(_candidates(s, d)).select(*_PAGE, "n", "milli", "accepted", "reason"),
     "verse_stats": _verse_stats,
+    "verse_totals": lambda s, d: vs.digest_totals(vs.selected(_candidates(s, d))),
     "explained_titles": _explain,
 }
 
@@ -140,6 +141,7 @@ b as (select packet_id, page_no, n, words score from l where length(regexp_repla
 select coalesce(a.packet_id, b.packet_id) packet_id, coalesce(a.page_no, b.page_no) page_no, coalesce(a.n, b.n) n, coalesce(a.score, b.score) score,
  case when a.n is not null and b.n is not null then 'short+letters' when a.n is not null then 'short' else 'letters' end found_by
 from a full join b on a.packet_id = b.packet_id and a.page_no = b.page_no and a.n = b.n""",
+    "ordered_distinct_ids": """select candidate_id, array_to_string(list_filter(line_ids, lambda x, i: list_position(line_ids, x) = i), '|') ids from candidates""",
     "cited_lines": """
 with c as (select candidate_id, packet_id, page_no, unnest(line_ids) x, generate_subscripts(line_ids, 1) i from candidates),
 k as (select distinct packet_id, page_no, lower(trim(line_id)) line_id from packet_lines)

@@ -179,3 +179,24 @@ def test_results_and_digest(spark, tmp_path):
     assert "### 5-7-5 — exact · score 1.0\n\n    a\n    b\n    c" in sinks.digest(df).first().markdown
     with pytest.raises(ValueError):
         sinks.write_results(df, str(tmp_path / "y"), "yaml")
+
+
+def test_sidecars(spark, tmp_path):
+    from quillspan.sources import feeds
+
+    (tmp_path / "p1.provenance.json").write_text('{"schema": "x/provenance/1.0", "master": {"path": "m.png", "width": 10}, "exif": {"DateTime": "2020", "Make": "M", "Exif": {"DateTimeOriginal": ""}}}')
+    (tmp_path / "p2.provenance.json").write_text('{"exif": {"DateTime": "2020", "Exif": {"DateTimeOriginal": "2019"}}, "unknown": 1}')
+    df = feeds.sidecars(spark, str(tmp_path), feeds.PROVENANCE)
+    got = {r.stem: (r.t, r.c, r.master and r.master.width) for r in df.select("stem", "master", feeds.captured(F.col("exif")).alias("t"), feeds.camera(F.col("exif")).alias("c")).collect()}
+    assert got == {"p1": ("2020", "M", 10), "p2": ("2019", None, None)}
+
+
+def test_feed_maps_and_tails(spark, tmp_path):
+    from quillspan.sources import feeds
+
+    with pytest.raises(ValueError):
+        feeds.frame_feed(spark, str(tmp_path), "ws://x")
+    assert feeds.frame_feed(spark, str(tmp_path), "wss://x").isStreaming
+    df = spark.createDataFrame([({"a": "1"}, [1.0, 2.0, 3.0]), (None, [])], "m map<string,string>, v array<double>")
+    got = df.select(feeds.with_defaults(F.col("m"), {"a": "0", "b": "0"}).alias("m"), feeds.bounded_tail(F.col("v"), 2).alias("v")).collect()
+    assert [(r.m, r.v) for r in got] == [({"a": "1", "b": "0"}, [2.0, 3.0]), ({"a": "0", "b": "0"}, [])]

@@ -83,3 +83,10 @@ def test_plain_pages(spark):
     df = spark.createDataFrame([(1, "Date\n\nline one\nline two\n\n\f\n \f\nnext page\r\n"), (2, None), (3, " \n\f")], "doc_id int, text string")
     got = [(r.doc_id, r.page_no, r.par_no, r.n, r.text) for r in tr.parsed_text(df).collect()]
     assert got == [(1, 1, 1, 1, "Date"), (1, 1, 2, 2, "line one"), (1, 1, 2, 3, "line two"), (1, 2, 1, 1, "next page")]
+
+
+def test_totals(spark):
+    _, s = detected(spark)
+    assert tuple(vs.digest_totals(s).first()) == (1, 2)
+    checked = spark.createDataFrame([("exact", True), ("exact", None), ("not 5-7-5", False)], "validation string, agree boolean")
+    assert tuple(vs.reply_statistics(checked).first()) == (3, 2, 1)
