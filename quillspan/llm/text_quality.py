@@ -31,9 +31,9 @@ CLAUSE_WORDS = {
     "fr": "est était sont ne pas je nous il elle on que qui ce cette dans sur avec sans à au aux y avait plus rien "
     "sommes avons son se toujours cela",
 }
-_CLAUSE = r"(?<![\p{L}'-])(?:" + "|".join(sorted({w for v in CLAUSE_WORDS.values() for w in v.split()})) + r")(?![\p{L}-])"
+_CLAUSE = sorted({w for v in CLAUSE_WORDS.values() for w in v.split()})
 #: Articles and connectives; with the clause words they are the common words.
-_LINKS = r"(?<![\p{L}'-])(?:the|a|an|and|of|for|der|die|das|ein|eine|und|den|dem|für|le|la|les|de|des|du|un|une|et|pour)(?![\p{L}-])"
+_LINKS = "the a an and of for der die das ein eine und den dem für le la les de des du un une et pour".split()
 
 _WORD = r"\p{L}+(?:['’-]\p{L}+)?"
 _END = r"[.!?…][\"'”’)\]]?[ \t]*$"
@@ -46,6 +46,8 @@ ROW_PATTERNS = [
     r"^[^,;\n]{1,30}([,;])[^,;\s][^,;\n]{0,29}\1[^,;\n]{0,30}\1[^\n]{0,90}(?<![.!?])$",
     r"^[^\s][^\n]{0,60}\S {2,}\S[^\n]*\S {2,}\S[^\n]*$",
 ]
+#: What a text must hold for the pattern to find anything.
+ROW_MARKS = [("|", "+"), ("\t",), ('";"', '","'), (",", ";"), ("  ",)]
 _HEX = r"^[0-9a-fA-F]{4,8}:?[ \t]+[0-9a-fA-F]{2}[ \t][0-9a-fA-F]{2}[ \t][^\n]*$"
 _NAV = r"^[ \t]*[^\s>|»\n][^>|»\n]{0,24} [>|»] [^>|»\n]{1,24}[^\n]*$"
 
@@ -58,8 +60,19 @@ def _ink(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"\s+", "")).cast("long")
 
 
-def _without(text: Column, pattern: str) -> Column:
-    return F.regexp_replace(text, "(?m)" + pattern, "")
+def _without(text: Column, pattern: str, *marks: str) -> Column:
+    """``text`` without the lines of a pattern; texts that hold none of ``marks`` are not searched."""
+    gone = F.regexp_replace(text, "(?m)" + pattern, "")
+    if not marks:
+        return gone
+    held = F.contains(text, F.lit(marks[0]))
+    for m in marks[1:]:
+        held = held | F.contains(text, F.lit(m))
+    return F.when(held, gone).otherwise(text)
+
+
+def _among(words: Column, known: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(known))).cast("long")
 
 
 def text_statistics(documents: DataFrame) -> DataFrame:
@@ -68,14 +81,22 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     d = documents.select("doc_id", t.alias("_t"), F.lower(t).alias("_l"))
     t, low = F.col("_t"), F.col("_l")
     tabular = t
-    for p in ROW_PATTERNS:
-        tabular = _without(tabular, p)
+    for p, marks in zip(ROW_PATTERNS, ROW_MARKS, strict=True):
+        tabular = _without(tabular, p, *marks)
     # lines that end a sentence are gone from what may be items
     open_lines = _without(t, r"^[^\n]*[.!?:;…][\"'”’)\]]?[ \t]*$")
     short_open = F.regexp_replace(open_lines, r"(?m)^[^\n]{46,}$", "")
-    d = d.withColumns({"_open": F.lower(open_lines), "_short": short_open, "_rows": tabular})
-    lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(r"\S")))
-    words = F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
+    every = F.lit(_WORD)
+    d = d.withColumns(
+        {
+            "_open": F.regexp_extract_all(F.lower(open_lines), every, F.lit(0)),
+            "_short": short_open,
+            "_rows": tabular,
+            "_words": F.regexp_extract_all(low, every, F.lit(0)),
+        }
+    )
+    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\r\u00a0", "   "))) > 0)
+    words = F.col("_words")
     counted = d.select(
         "doc_id",
         F.length(t).cast("long").alias("n_chars"),
@@ -89,22 +110,23 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(low, r"[^aeiouyäöüàâéèêëîïôûœ]+", "")).cast("long").alias("n_vowels"),
         F.length(F.regexp_replace(t, r"[^#…_~^|\\<>{}\[\]=*/%]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(t, r"[^ÃÂ€™�¢¬]+", "")).cast("long").alias("n_mojibake"),
-        _n(t, r"(?<!\S)\S+(?!\S)").alias("n_tokens"),
-        F.length(F.regexp_replace(t, r"(?<!\S)\S{1,24}(?!\S)|\s+", "")).cast("long").alias("ink_long_tokens"),
-        _n(t, r"\p{L}[|~^;:][\p{L}\d|~^]|\p{L}[|~^](?!\S)|\p{L}\d|\d\p{L}|'[\dIl|](?!\S)").alias("n_broken_words"),
+        _n(t, r"\S+").alias("n_tokens"),
+        F.when(t.rlike(r"\S{25}"), F.length(F.regexp_replace(t, r"(?<!\S)\S{1,24}(?!\S)|\s+", ""))).otherwise(0).cast("long").alias("ink_long_tokens"),
+        # each alternative begins with the rare character and looks back
+        _n(t, r"[|~^;:](?<=\p{L}.)(?=[\p{L}\d|~^])|[|~^](?<=\p{L}.)(?!\S)|\d(?<=\p{L}\d)|\d(?=\p{L})|'[\dIl|](?!\S)").alias("n_broken_words"),
         _n(t, "(?m)" + _END).alias("n_ended_lines"),
-        _n(t, r"\p{L}[\"”’)]?[.!?…](?=[\"'”’)\]]?(?:\s|$))").alias("n_sentences"),
+        _n(t, r"[.!?…](?<=\p{L}[\"”’)]?[.!?…])(?=[\"'”’)\]]?(?:\s|$))").alias("n_sentences"),
         _n(t, "(?m)" + _BULLET).alias("n_bullets"),
         _n(t, r"[;,](?= )").alias("n_separators"),
-        _n(low, _CLAUSE).alias("n_clause_words"),
-        _n(low, _LINKS).alias("n_link_words"),
+        _among(words, _CLAUSE).alias("n_clause_words"),
+        _among(words, _LINKS).alias("n_link_words"),
         (_ink(t) - _ink(F.col("_rows"))).alias("ink_rows"),
-        (_ink(t) - _ink(_without(t, _HEX))).alias("ink_hex"),
-        (_ink(t) - _ink(_without(t, _NAV))).alias("ink_nav"),
-        (_ink(t) - _ink(_without(t, _BULLET + r"[^\n]*(?<![.!?…\"”])$"))).alias("ink_bullet_items"),
+        F.when(t.rlike("(?m)" + _HEX), _ink(t) - _ink(_without(t, _HEX))).otherwise(0).alias("ink_hex"),
+        F.when(t.rlike(" [>|»] "), _ink(t) - _ink(_without(t, _NAV))).otherwise(0).alias("ink_nav"),
+        F.when(t.rlike("(?m)" + _BULLET), _ink(t) - _ink(_without(t, _BULLET + r"[^\n]*(?<![.!?…\"”])$"))).otherwise(0).alias("ink_bullet_items"),
         _ink(F.col("_short")).alias("ink_short_open"),
-        _n(F.col("_open"), _CLAUSE).alias("n_open_clause_words"),
-        F.size(F.regexp_extract_all(F.col("_open"), F.lit(_WORD), F.lit(0))).cast("long").alias("n_open_words"),
+        _among(F.col("_open"), _CLAUSE).alias("n_open_clause_words"),
+        F.size("_open").cast("long").alias("n_open_words"),
     )
     return counted
 
@@ -146,6 +168,7 @@ def judged(stats: DataFrame) -> DataFrame:
     clauses = _share("n_clause_words", "n_words")
     open_clauses = _share("n_open_clause_words", "n_open_words")
     is_table = (rows > 0.5) & (letters >= 0.15)
+    broken = _share("n_broken_words", "n_tokens")
     hexed = _share("ink_hex", "n_ink") > 0.5
     low_lines = F.coalesce(F.col("low_letter_lines") * 2 > F.col("analysed_lines"), F.lit(False))
     junk = [
@@ -154,12 +177,15 @@ def judged(stats: DataFrame) -> DataFrame:
         ("encoded text", ~is_table & (_share("ink_long_tokens", "n_ink") > 0.5)),
         ("wrong character set", _share("n_mojibake", "n_ink") > 0.08),
         ("few letters", ~is_table & ((letters < 0.5) | ((letters < 0.6) & low_lines)) & (clauses < 0.2)),
-        ("symbols", ~is_table & (_share("n_symbols", "n_ink") > 0.25)),
+        ("symbols", (_share("n_symbols", "n_ink") > 0.25) & (~is_table | (_share("n_letters", "n_words") < 1.8))),
         ("repeated lines", (lines >= 5) & (_share("n_distinct_lines", "n_lines") <= 0.3)),
         ("repeated words", (words >= 16) & (F.col("n_distinct_words") <= 6)),
         ("no vowels", (words >= 3) & (_share("n_vowels", "n_letters") < 0.2)),
         ("navigation", (_share("ink_nav", "n_ink") > 0.5) & ~is_table & (clauses < 0.1)),
-        ("broken words", ~is_table & (_share("n_broken_words", "n_tokens") > 0.3) & (clauses < 0.2)),
+        (
+            "broken words",
+            ((broken > 0.45) & (_share("n_ink", "n_tokens") < 7)) | (~is_table & (broken > 0.3) & (clauses < 0.2)),
+        ),
     ]
     table = [("rows of cells", is_table & ~hexed)]
     listed = [
