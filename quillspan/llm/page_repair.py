@@ -7,7 +7,7 @@ numbers of the other pages. The model is fitted by Baum-Welch on a bounded sampl
 decoded by Viterbi. Body lines are then joined: a broken word is closed, a misread character is judged against counts
 of all words and word parts of the whole collection.
 
-Scale. Counts go into a count-min sketch of fixed size (3 x 2^20 cells): what is broadcast does not grow with the data.
+Scale. Counts go into a count-min sketch of fixed size (3 x 2^21 cells): what is broadcast does not grow with the data.
 Lines are shuffled once, by packet, block of 64 pages and slice of 5,000 lines of a page, so that neither a packet nor a
 page with a third of all rows meets in one task; the first lines after a border are copied across it, for words broken
 there. Within a task lines stream page by page; the memory of a task is a block.
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_PAGES, SLICE_LINES, HALO_LINES = 64, 5000, 8
-WIDTH_BITS, DEPTH = 20, 3
+WIDTH_BITS, DEPTH = 21, 3
 
 #: Characters that end the first half of a broken word.
 BREAKS = "-‐­=¬"
@@ -240,13 +240,13 @@ class Lexicon:
         best, most = None, 0
         for v in self.readings(w):
             k = self.word(v)
-            if k > most and k >= 8 * c and c <= 0.012 * k + 2 and k >= 4:
+            if k > most and k >= 8 * c and c <= 0.012 * k + 2 and k >= 4 + 2 * self._floor:
                 best, most = v, k
         if best or not w.isascii() or c > 50 + self._floor:
             return best
         own, most = self.shape(w), 0
         for v in self.readings(w):
-            if v.isalpha() and (k := self.shape(v)) > most and k >= 12 and k >= 6 * own:
+            if v.isalpha() and (k := self.shape(v)) > most and k >= 12 + self._floor and k >= 6 * own:
                 best, most = v, k
         return best
 
