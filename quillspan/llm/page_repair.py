@@ -242,7 +242,7 @@ class Lexicon:
             k = self.word(v)
             if k > most and k >= 8 * c and c <= 0.012 * k + 2 and k >= 4 + 2 * self._floor:
                 best, most = v, k
-        if best or not w.isascii() or c > 50 + self._floor:
+        if best or not w.isascii() or len(w) < 6 or c > 50 + self._floor:
             return best
         own, most = self.shape(w), 0
         for v in self.readings(w):
