@@ -1,7 +1,9 @@
 """Event logs: gaps, order, rings, running figures, traces of stages, frames, record budgets.
 
-Window functions are per key and in order of the sequence; a key's events are one window partition, as their order is the
-question. Where an aggregate serves (first and last values, deduplication) it is used instead.
+Figures that run along a key's events are taken in two levels, so that a key with a third of all events is no single task:
+events fall into blocks of the order column (bounds from one pass of approximate quantiles, at most :data:`BLOCKS` of them),
+windows run within (key, block), and what earlier blocks hand on comes from a small table of one row per key and block.
+Results do not depend on the bounds. Where an aggregate serves (first and last values, deduplication) it is used instead.
 """
 
 from __future__ import annotations
@@ -9,17 +11,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCKS = 64
+
+
+def _place(c: str, kind: str) -> Column:
+    """The order column as a figure."""
+    col = F.col(c)
+    return F.unix_micros(col.cast("timestamp")).cast("double") if "timestamp" in kind else col.cast("double")
+
+
+def blocked(events: DataFrame, order: str, blocks: int = BLOCKS) -> DataFrame:
+    """``events`` + _blk: the block of the order column; events equal in it share a block, null ones come first."""
+    at = _place(order, dict(events.dtypes)[order])
+    cuts = [i / blocks for i in range(1, blocks)]
+    bounds = events.select(at.alias("_at")).approxQuantile("_at", cuts, 0.5 / blocks) if cuts else []
+    listed = sorted(set(bounds))
+    below = F.lit(0)
+    if listed:
+        array = F.array(*[F.lit(x) for x in listed])
+        below = F.coalesce(F.size(F.filter(array, lambda x: x < at)), F.lit(0))
+    return events.withColumn("_blk", F.when(at.isNull(), -1).otherwise(below))
+
+
+def _handed_on(blocks: DataFrame, key: str, **figures: tuple) -> DataFrame:
+    """Per key and block what all earlier blocks of the key come to. ``figures``: name -> (per block, over blocks)."""
+    per = blocks.groupBy(key, "_blk").agg(*[f.alias(n) for n, (f, _) in figures.items()])
+    before = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(key, "_blk", *[over(F.col(n)).over(before).alias(n) for n, (_, over) in figures.items()])
+
 
 def gaps(events: DataFrame, key: str, seq: str) -> DataFrame:
     """``events`` + missing: how many numbers lie between an event and the one before it in its key; 0 for the first."""
-    last = F.lag(seq).over(Window.partitionBy(key).orderBy(seq))
-    return events.withColumn("missing", F.greatest(F.coalesce(F.col(seq) - last - 1, F.lit(0)), F.lit(0)))
+    b = blocked(events, seq)
+    before = _handed_on(b, key, _last=(F.max(seq), F.max))
+    last = F.coalesce(F.lag(seq).over(Window.partitionBy(key, "_blk").orderBy(seq)), F.col("_last"))
+    out = b.join(before, [key, "_blk"], "left").withColumn("missing", F.greatest(F.coalesce(F.col(seq) - last - 1, F.lit(0)), F.lit(0)))
+    return out.select(*events.columns, "missing")
 
 
 def monotone(events: DataFrame, key: str, order: list[str], seq: str) -> DataFrame:
     """``events`` + rejected: whether the sequence does not exceed all earlier ones in arrival order."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("rejected", F.coalesce(F.col(seq) <= F.max(seq).over(w), F.lit(False)))
+    b = blocked(events, order[0])
+    before = _handed_on(b, key, _most=(F.max(seq), F.max))
+    w = Window.partitionBy(key, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    most = F.greatest(F.max(seq).over(w), F.col("_most"))
+    out = b.join(before, [key, "_blk"], "left").withColumn("rejected", F.coalesce(F.col(seq) <= most, F.lit(False)))
+    return out.select(*events.columns, "rejected")
 
 
 def deduplicated(events: DataFrame, key: list[str]) -> DataFrame:
@@ -36,12 +73,13 @@ def ring(events: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
 
 def running(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """``events`` + run_n, run_sum, run_avg up to and with each event."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        events.withColumn("run_n", F.count(value).over(w))
-        .withColumn("run_sum", F.sum(value).over(w))
-        .withColumn("run_avg", F.avg(value).over(w))
-    )
+    b = blocked(events, order[0])
+    before = _handed_on(b, key, _n=(F.count(value), F.sum), _s=(F.sum(value), F.sum))
+    w = Window.partitionBy(key, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.count(value).over(w) + F.coalesce("_n", F.lit(0))
+    total = F.when(n > 0, F.coalesce(F.sum(value).over(w), F.lit(0)) + F.coalesce("_s", F.lit(0)))
+    out = b.join(before, [key, "_blk"], "left").withColumns({"run_n": n, "run_sum": total})
+    return out.withColumn("run_avg", F.col("run_sum") / F.nullif(F.col("run_n"), F.lit(0))).select(*events.columns, "run_n", "run_sum", "run_avg")
 
 
 #: The shape of a frame.

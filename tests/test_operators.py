@@ -48,6 +48,21 @@ def test_gaps_and_monotone(spark):
         (1, 1, False), (1, 2, False), (1, 3, True), (1, 4, True), (1, 5, False), (2, 1, False)]
 
 
+def test_blocks_do_not_change_running_figures(spark, monkeypatch):
+    rng = random.Random(8)
+    e = [(rng.choice([1, 1, 1, 2, 3]), i // 3, rng.randrange(500), rng.choice([None, 1.5, 2.0])) for i in range(600)]
+    df = spark.createDataFrame(e, "k int, at int, seq int, v double").dropDuplicates(["k", "at", "seq"]).withColumn("_n", F.lit("clash"))
+    got = []
+    for n in (1, 7, 64):
+        monkeypatch.setattr(ev.blocked, "__defaults__", (n,))
+        got.append([
+            rows(ev.gaps(df.dropDuplicates(["k", "seq"]).select("k", "seq"), "k", "seq"), "k", "seq", "missing"),
+            rows(ev.monotone(df, "k", ["at", "seq"], "seq"), "k", "at", "seq", "rejected"),
+            rows(ev.running(df.drop("_n").fillna(0), "k", ["at", "seq"], "v"), "k", "at", "seq", "run_n", "run_sum"),
+        ])
+    assert got[0] == got[1] == got[2]
+
+
 @pytest.mark.parametrize(
     "change,error",
     [
