@@ -211,3 +211,9 @@ def test_recipes(spark):
     with pytest.raises(ValueError):
         recipe("rot13")(lambda c: c)
     assert set(RECIPES) >= {"rot18", "atbash", "hex"}
+
+
+def test_bytes_for_json(spark):
+    assert one(spark, by.json_safe(F.col("b")), b=b"plain\x00\x00")[0] == "plain"
+    assert one(spark, by.json_safe(F.col("b")), b=b"\xff\x00")[0] == "base64:/wA="
+    assert one(spark, by.json_safe(F.col("b"), 3), b=b"12345")[0] == "<5 bytes>"

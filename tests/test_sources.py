@@ -200,3 +200,10 @@ def test_feed_maps_and_tails(spark, tmp_path):
     df = spark.createDataFrame([({"a": "1"}, [1.0, 2.0, 3.0]), (None, [])], "m map<string,string>, v array<double>")
     got = df.select(feeds.with_defaults(F.col("m"), {"a": "0", "b": "0"}).alias("m"), feeds.bounded_tail(F.col("v"), 2).alias("v")).collect()
     assert [(r.m, r.v) for r in got] == [({"a": "1", "b": "0"}, [2.0, 3.0]), ({"a": "0", "b": "0"}, [])]
+
+
+def test_history(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-02", "b", 2.0), ("2024-01-01", "a", 1.0)], "ts string, event_type string, value double")
+    sinks.write_history(df, str(tmp_path / "h"))
+    lines = [x for p in sorted((tmp_path / "h").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines[0] == "ts,event_type,value" and [x.split(",")[1] for x in lines if "event" not in x] == ["a", "b"]
