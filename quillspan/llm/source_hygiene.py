@@ -137,23 +137,23 @@ def leaves(files: DataFrame) -> DataFrame:
     )
 
 
-def merkle_directories(files: DataFrame) -> DataFrame:
+def _ancestors(path: str):
+    """array<string>: a directory and everything above it, the root ('') included."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+
+
+def merkle_directories(files: DataFrame, of_leaves: DataFrame | None = None) -> DataFrame:
     """(collection, dir, h1, h2, n_files): the Merkle hash and size of every directory, bottom-up."""
-    own = leaves(files).groupBy("collection", "dir").agg(
+    lv = leaves(files) if of_leaves is None else of_leaves
+    own = lv.groupBy("collection", "dir").agg(
         _wrap(F.sum(_mix(1, F.col("name"), F.col("sha256")))).alias("o1"),
         _wrap(F.sum(_mix(2, F.col("name"), F.col("sha256")))).alias("o2"),
         F.count(F.lit(1)).alias("own_files"),
     )
+    own = cut(own)
     # every ancestor is a directory too, whether or not it holds files itself
-    parts = F.split("dir", "/")
-    every = own.select(
-        "collection",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")
-            )
-        ).alias("dir"),
-    ).distinct()
+    every = own.select("collection", F.explode(_ancestors("dir")).alias("dir")).distinct()
     dirs = cut(
         every.join(own, ["collection", "dir"], "left")
         .fillna(0, ["o1", "o2", "own_files"])
@@ -205,37 +205,23 @@ def shared_subtrees(files: DataFrame, least: int = 2) -> DataFrame:
     )
 
 
-def shared_content(files: DataFrame, least: int = 2) -> DataFrame:
-    """(sha256): leaves that are vendored by the trees: shared by ``least`` collections, alone or in a shared subtree."""
-    return (
-        leaves(files)
-        .groupBy("sha256")
-        .agg(F.countDistinct("collection").alias("n_collections"))
-        .where(F.col("n_collections") >= least)
-        .select("sha256")
-    )
-
-
 def vendored_leaves(files: DataFrame) -> DataFrame:
     """(collection, dir, name): leaves under a directory, or being a leaf, whose Merkle hash unrelated collections share."""
-    trees = cut(merkle_directories(files).where("n_files > 0"))
-    shared = (
-        trees.groupBy("h1", "h2").agg(F.countDistinct("collection").alias("_c")).where("_c >= 2").select("h1", "h2")
-    )
-    roots = trees.join(shared, ["h1", "h2"]).select("collection", F.col("dir").alias("_root")).distinct()
-    lv = leaves(files)
-    parts = F.split("dir", "/")
-    above = lv.select(
-        "collection",
-        "dir",
-        "name",
-        F.explode(
-            F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-        ).alias("_root"),
+    lv = cut(leaves(files))
+    trees = cut(merkle_directories(files, lv).where("n_files > 0"))
+    shared = trees.groupBy("h1", "h2").agg(F.countDistinct("collection").alias("_c")).where("_c >= 2").select("h1", "h2")
+    roots = trees.join(shared, ["h1", "h2"]).select("collection", F.col("dir").alias("_root"))
+    # which directories lie under a shared one is found among directories, before leaves are touched
+    under = (
+        trees.select("collection", "dir", F.explode(_ancestors("dir")).alias("_root"))
+        .join(roots, ["collection", "_root"], "left_semi")
+        .select("collection", "dir")
+        .distinct()
     )
-    under = above.join(roots, ["collection", "_root"], "left_semi").select("collection", "dir", "name")
-    alone = lv.join(shared_content(files), "sha256", "left_semi").select("collection", "dir", "name")
-    return under.unionByName(alone).distinct()
+    single = lv.groupBy("sha256").agg(F.countDistinct("collection").alias("_c")).where("_c >= 2").select("sha256")
+    inside = lv.join(under, ["collection", "dir"], "left_semi").select("collection", "dir", "name")
+    alone = lv.join(single, "sha256", "left_semi").select("collection", "dir", "name")
+    return inside.unionByName(alone).distinct()
 
 
 def judged(files: DataFrame) -> DataFrame:
