@@ -122,7 +122,10 @@ def _wrap(total: Column) -> Column:
 
 
 def leaves(files: DataFrame) -> DataFrame:
-    """Distinct (collection, dir, name, sha256) of the files that have content; a file listed twice is one leaf."""
+    """Distinct (collection, dir, name, content) of the files that have content; a file listed twice is one leaf.
+
+    ``content`` is 16 bytes that stand for the checksum, however that is spelled.
+    """
     path = clean_path(F.col("path"))
     return (
         files.where("collection is not null and path is not null and sha256 is not null and sha256 != ''")
@@ -131,7 +134,7 @@ def leaves(files: DataFrame) -> DataFrame:
             "collection",
             F.regexp_replace(path, r"/?[^/]*$", "").alias("dir"),
             F.regexp_extract(path, r"([^/]*)$", 1).alias("name"),
-            F.lower("sha256").alias("sha256"),
+            F.unhex(F.md5(F.lower("sha256"))).alias("content"),
         )
         .distinct()
     )
@@ -147,8 +150,8 @@ def merkle_directories(files: DataFrame, of_leaves: DataFrame | None = None) ->
     """(collection, dir, h1, h2, n_files): the Merkle hash and size of every directory, bottom-up."""
     lv = leaves(files) if of_leaves is None else of_leaves
     own = lv.groupBy("collection", "dir").agg(
-        _wrap(F.sum(_mix(1, F.col("name"), F.col("sha256")))).alias("o1"),
-        _wrap(F.sum(_mix(2, F.col("name"), F.col("sha256")))).alias("o2"),
+        _wrap(F.sum(_mix(1, F.col("name"), F.col("content")))).alias("o1"),
+        _wrap(F.sum(_mix(2, F.col("name"), F.col("content")))).alias("o2"),
         F.count(F.lit(1)).alias("own_files"),
     )
     own = cut(own)
@@ -206,7 +209,7 @@ def shared_subtrees(files: DataFrame, least: int = 2) -> DataFrame:
 
 
 def vendored_leaves(files: DataFrame) -> DataFrame:
-    """(collection, dir, name): leaves under a directory, or being a leaf, whose Merkle hash unrelated collections share."""
+    """(_f1, _f2), the keys of leaves under a directory, or being a leaf, whose Merkle hash unrelated collections share."""
     lv = cut(leaves(files))
     trees = cut(merkle_directories(files, lv).where("n_files > 0"))
     shared = trees.groupBy("h1", "h2").agg(F.countDistinct("collection").alias("_c")).where("_c >= 2").select("h1", "h2")
@@ -215,25 +218,34 @@ def vendored_leaves(files: DataFrame) -> DataFrame:
     under = (
         trees.select("collection", "dir", F.explode(_ancestors("dir")).alias("_root"))
         .join(roots, ["collection", "_root"], "left_semi")
-        .select("collection", "dir")
+        .select(*_key("_d", "collection", "dir"))
         .distinct()
     )
-    single = lv.groupBy("sha256").agg(F.countDistinct("collection").alias("_c")).where("_c >= 2").select("sha256")
-    inside = lv.join(under, ["collection", "dir"], "left_semi").select("collection", "dir", "name")
-    alone = lv.join(single, "sha256", "left_semi").select("collection", "dir", "name")
+    # from here on 16 bytes stand for a place, so that no path is shuffled again
+    placed = lv.select("content", *_key("_d", "collection", "dir"), *_key("_f", "collection", "dir", "name"))
+    single = lv.groupBy("content").agg(F.countDistinct("collection").alias("_c")).where("_c >= 2").select("content")
+    inside = placed.join(under, ["_d1", "_d2"], "left_semi").select("_f1", "_f2")
+    alone = placed.select("content", "_f1", "_f2").join(single, "content", "left_semi").select("_f1", "_f2")
     return inside.unionByName(alone).distinct()
 
 
+def _key(name: str, *columns: str) -> list[Column]:
+    """Two 64-bit hashes of a place."""
+    return [F.xxhash64(F.lit(seed), *columns).alias(f"{name}{seed}") for seed in (1, 2)]
+
+
 def judged(files: DataFrame) -> DataFrame:
     """(file_id, collection, path, reasons, handwritten) for every listing."""
     base = files.withColumn("_path", clean_path(F.col("path"))).select(
         "file_id", "collection", "path", "_path", file_rules().alias("_rules")
     )
-    keyed = base.withColumn("dir", F.regexp_replace("_path", r"/?[^/]*$", "")).withColumn(
-        "name", F.regexp_extract("_path", r"([^/]*)$", 1)
+    keyed = (
+        base.withColumn("_dir", F.regexp_replace("_path", r"/?[^/]*$", ""))
+        .withColumn("_name", F.regexp_extract("_path", r"([^/]*)$", 1))
+        .select("file_id", "collection", "path", "_rules", *_key("_f", "collection", "_dir", "_name"))
     )
     shared = vendored_leaves(files).withColumn("_shared", F.lit("vendored: shared subtree"))
-    out = keyed.join(shared, ["collection", "dir", "name"], "left")
+    out = keyed.join(shared, ["_f1", "_f2"], "left")
     reasons = F.when(F.col("_shared").isNull(), F.coalesce("_rules", F.array())).otherwise(
         F.array_append(F.coalesce("_rules", F.array()), F.col("_shared"))
     )
