@@ -49,7 +49,7 @@ def _get(v: Column, path: str, kind: str) -> Column:
 
 
 def _word_v(w: Column) -> Column:
-    return F.struct(
+    return _given(w, F.struct(
         _get(w, "$.id", "string").alias("id"),
         # a bare string is the word itself; schema_of_variant tells it from an object
         F.when(F.schema_of_variant(w).startswith("OBJECT"), _get(w, "$.text", "string"))
@@ -57,7 +57,7 @@ def _word_v(w: Column) -> Column:
         .alias("text"),
         _get(w, "$.bbox", _BOX).alias("bbox"),
         _get(w, "$.conf", "double").alias("conf"),
-    )
+    ))
 
 
 def _line_v(ln: Column) -> Column:

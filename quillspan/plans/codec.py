@@ -73,6 +73,10 @@ s as (select notebook_id, v, 0 i, 65535 crc from b
  union all select notebook_id, v, i + 1, list_reduce(list_prepend(cast(xor(crc, ('0x' || substr(hex(v), 2 * i + 1, 2))::int) as int), range(8)),
   lambda c, _: case when c & 1 = 1 then xor(c >> 1, 40961) else c >> 1 end)::int from s where i < octet_length(v))
 select notebook_id, crc from s where i = octet_length(v)""",
+    "hexdumps": r"""
+with b as (select notebook_id, encode(title) v, hex(encode(title)) h, octet_length(encode(title)) n, title from notebooks),
+r as (select notebook_id, o, lower(substr(h, 2 * o + 1, 32)) hx, substr(title, o + 1, 16) a from b, range(0, 2048, 16) t(o) where o < n)
+select notebook_id, string_agg(lpad(lower(to_hex(o)), 5, '0') || '  ' || rpad(regexp_replace(hx, '(..)', '\1 ', 'g'), 48, ' ') || ' |' || a || '|', chr(10) order by o) dump from r group by 1""",
     "sha256": 'select doc_id, sha256("text") sha256 from documents',
     "source_boxes": """select distinct packet_id, page_no, n, cast(greatest(0, round_even((bbox.x0 - 20) / 2, 0)) as int) x0, cast(greatest(0, round_even((bbox.y0 - 20) / 2, 0)) as int) y0,
  cast(greatest(0, round_even((bbox.x1 - 20) / 2, 0)) as int) x1, cast(greatest(0, round_even((bbox.y1 - 20) / 2, 0)) as int) y1 from packet_lines where bbox is not null""",

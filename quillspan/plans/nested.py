@@ -51,6 +51,11 @@ ORACLE = {
     + f"""select delivery_id, cast(par_pos as int) par_pos, cast(line_pos as int) line_pos, cast(word_pos as int) word_pos,
  case json_type(word) when 'OBJECT' then word ->> '$.id' end word_id, "text",
  case json_type(word) when 'OBJECT' then cast(word ->> '$.conf' as double) end conf from t {_HERE}""",
+    "p2_lines": _TREE
+    + f"""select l.delivery_id, cast(l.par_pos as int) par_pos, cast(line_pos as int) line_pos, cast(par ->> '$.page' as int) page, line ->> '$.id' line_id,
+ cast(line ->> '$.n' as int) n, line ->> '$.text' "text", line ->> '$.kind' kind,
+ cast(len(list_filter({_LIST.format("json_extract(line, '$.words')")}, lambda x: x is not null and json_type(x) <> 'NULL')) as int) n_words
+ from l join p on l.delivery_id = p.delivery_id and l.par_pos = p.par_pos where line is not null and json_type(line) <> 'NULL'""",
     "p2_paragraphs": _TREE
     + f"""select delivery_id, cast(par_pos as int) par_pos, cast(par ->> '$.page' as int) page, par ->> '$.id' par_id,
  cast(len(list_filter({_LIST.format("json_extract(par, '$.lines')")}, lambda x: x is not null and json_type(x) <> 'NULL')) as int) n_lines
