@@ -6,8 +6,10 @@ the tree splits recursively: how many draws of each source go left and how many
 draw, so that every output shard gets an exact quota of blocks, distributed as if all draws had been shuffled and dealt.
 Each source's permuted draws then fill the shards' quotas in order, disjointly, and texts are shuffled within their shard.
 
-Total. The mix is as large as it can be with every source at its share (``total`` = None), so small sources decide it
-through their repeats. With a given ``total`` a source that cannot give its share gives all it may, and the report says so.
+Total. With ``total`` = WHOLE the mix is the smallest in which every text of a source with a share is used: the source with
+most text for its share is passed over once, the others as often as their shares ask. With ``total`` = None it is as large
+as it can be with every source exactly at its share, so the scarcest source leaves out texts of all others. With WHOLE or a
+given ``total`` a source that cannot give its share gives all it may, and the report says so.
 
 Scale. The driver holds a table of at most ``blocks`` x sources sizes and the draws made of it; texts meet their draws in
 a join with that bounded table on (source, block), so a source with a third of all rows is spread over its blocks and no
@@ -32,6 +34,9 @@ from pyspark.sql import functions as F
 from quillspan.llm.tokens import VOCABULARY, counted
 from quillspan.session import cut
 
+#: A value of ``total``: no text of a source with a share is left out.
+WHOLE = "whole"
+
 
 def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """(shards x sources): draws of each source in each shard; shards differ by one draw in all at most."""
@@ -43,7 +48,7 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.concatenate([split_tree(got, left, rng), split_tree(quotas - got, shards - left, rng)])
 
 
-def plan(sizes: pd.DataFrame, targets: pd.DataFrame, total: float | None, shards: int, seed: int) -> pd.DataFrame:
+def plan(sizes: pd.DataFrame, targets: pd.DataFrame, total: float | str | None, shards: int, seed: int) -> pd.DataFrame:
     """The draws: (source, block, use, shard). ``sizes``: source, block, tokens; ``targets``: source, share, repeats."""
     rng = np.random.default_rng(seed)
     held = sizes.groupby("source")["tokens"].sum()
@@ -55,9 +60,13 @@ def plan(sizes: pd.DataFrame, targets: pd.DataFrame, total: float | None, shards
     if not len(t):
         return empty
     share = (t["share"] / t["share"].sum()).to_numpy()
-    most = (t["repeats"] * held[t["source"]].to_numpy()).to_numpy(dtype=float)
-    size = float(np.min(most / share)) if total is None else float(total)
-    want = np.minimum(share * size, most)
+    own = held[t["source"]].to_numpy(dtype=float)
+    most = t["repeats"].to_numpy(dtype=float) * own
+    if total == WHOLE:
+        want = np.clip(share * np.max(own / share), own, most)  # rounding must not cost a source its last block
+    else:
+        size = float(np.min(most / share)) if total is None else float(total)
+        want = np.minimum(share * size, most)
     draws = []
     for name, need in zip(t["source"], want, strict=True):
         own = sizes[sizes["source"] == name].sort_values("block")
@@ -123,7 +132,7 @@ def _prepared(documents, targets, tokenizer, blocks):
 def mixed(
     documents: DataFrame,
     targets: DataFrame,
-    total: float | None = None,
+    total: float | str | None = None,
     shards: int = 64,
     blocks: int = 2048,
     seed: int = 17,

@@ -5,7 +5,7 @@ from quillspan.session import table
 
 
 def _mix(s, d, **kw):
-    return mx.mixed(table(s, d, "documents"), table(s, d, "mix_targets"), **kw)
+    return mx.mixed(table(s, d, "documents"), table(s, d, "mix_targets"), total=mx.WHOLE, **kw)
 
 
 QUERIES = {

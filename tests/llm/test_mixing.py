@@ -57,3 +57,29 @@ def test_tree_keeps_quotas():
 def test_empty(spark, tables):
     docs, targets = tables
     assert mx.mixed(docs.limit(0), targets).count() == 0 and mx.mixed(docs, targets.limit(0)).count() == 0
+
+
+def test_registered_mix_leaves_no_text_out(spark, tables, tmp_path):
+    from quillspan.llm import q_mixing
+
+    docs, targets = tables
+    one = spark.createDataFrame([(50_000, "absent", "one short text", "", 0)], DOCS)
+    docs.unionByName(one).write.parquet(str(tmp_path / "documents.parquet"))
+    targets.write.parquet(str(tmp_path / "mix_targets.parquet"))
+    mix = q_mixing.QUERIES["p7_mixed"](spark, str(tmp_path)).cache()
+    held = mx.texts(docs.unionByName(one), targets)
+    assert held.join(mix, ["source", "doc_id"], "left_anti").count() == 0
+    r = {x.source: x for x in q_mixing.QUERIES["p7_report"](spark, str(tmp_path)).collect()}
+    assert r["big"].texts_used == 3000 and r["absent"].most_uses == 2 and r["absent"].share_reached < 0.1
+    assert all(x.most_uses <= x.max_repeats for x in r.values() if x.most_uses)
+
+
+def test_whole_mix_keeps_its_last_block():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    sizes = pd.DataFrame([(s, b, int(rng.integers(1, 10**12))) for s in "abc" for b in range(50)], columns=["source", "block", "tokens"])
+    for shares in ((0.1, 0.7, 0.2), (0.3, 0.3, 0.4), (1e-9, 0.5, 0.5)):
+        t = pd.DataFrame({"source": list("abc"), "share": shares, "repeats": [1, 2, 3]})
+        got = mx.plan(sizes, t, mx.WHOLE, 8, 1)
+        assert len(got[["source", "block"]].drop_duplicates()) == 150 and not got.duplicated(["source", "block", "use"]).any()
