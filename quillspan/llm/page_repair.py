@@ -9,8 +9,9 @@ of all words and word parts of the whole collection.
 
 Scale. Counts go into a count-min sketch of fixed size (3 x 2^21 cells): what is broadcast does not grow with the data.
 Lines are shuffled once, by packet, block of 64 pages and slice of 5,000 lines of a page, so that neither a packet nor a
-page with a third of all rows meets in one task; the first lines after a border are copied across it, for words broken
-there. Within a task lines stream page by page; the memory of a task is a block.
+page with a third of all rows meets in one task. Within a task lines stream page by page; the memory of a task is a block.
+What stands at a border (the first and last body line, the open paragraphs) meets its neighbours in a second small shuffle
+by packet, so that words and paragraphs read on across every border, whatever pages are missing or without text there.
 
 Defined results
 ---------------
@@ -118,20 +119,19 @@ def featured(lines: DataFrame, notebooks: DataFrame) -> DataFrame:
 
 
 def blocked(lines: DataFrame) -> DataFrame:
-    """Lines by (packet, block, slice), copies across borders marked ``ctx``; one shuffle, sorted within tasks."""
+    """Lines by (packet, block, slice); one shuffle, sorted within tasks.
+
+    The first lines of a slice are copied into the slice before, marked ``ctx``: they show that the page goes on.
+    """
     page, n = F.greatest("page_no", F.lit(0)), F.greatest("n", F.lit(0))
     blk, cut = F.floor(page / BLOCK_PAGES).cast("int"), F.floor(n / SLICE_LINES).cast("int")
     own = F.struct(blk.alias("blk"), cut.alias("slice"), F.lit(0).alias("ctx"))
-    after_page = F.when(
-        (page % BLOCK_PAGES == 0) & (page > 0) & (n <= HALO_LINES),
-        F.struct((blk - 1).alias("blk"), F.lit(0).alias("slice"), F.lit(1).alias("ctx")),
-    )
     after_slice = F.when(
         (n % SLICE_LINES < HALO_LINES) & (cut > 0),
         F.struct(blk.alias("blk"), (cut - 1).alias("slice"), F.lit(1).alias("ctx")),
     )
     return (
-        lines.select("*", F.inline(F.array_compact(F.array(own, after_page, after_slice))))
+        lines.select("*", F.inline(F.array_compact(F.array(own, after_slice))))
         .repartition("packet_id", "blk", "slice")
         .sortWithinPartitions("packet_id", "blk", "slice", "page_no", "n", F.desc("at"), "text")
     )
@@ -557,52 +557,92 @@ def _bare(token: str) -> str:
     return "(" + w if token[:1] == "(" and w and ")" not in token and len(w) > 2 else w
 
 
+def _open(line: str) -> bool:
+    return line.rstrip()[-1:] in BREAKS and bool(line.strip())
+
+
+def _mend(lex: Lexicon, line: str, up, down, following: str | None) -> tuple[bool, bool, str]:
+    """(broken at its end, misread, mended text) of a body line.
+
+    ``up``, ``down``: what ``_broken`` says of the line before and this one, and of this one and ``following``.
+    """
+    fixed, misread, tokens = line, False, line.split()
+
+    def joined(got) -> tuple[str, str | None, bool]:
+        """The closed word's last part, its mended form, and whether it is misread in the first half."""
+        head = got[0].split("-")[-1]
+        whole = (head + got[1]).strip(EDGES)
+        v = lex.judge(whole)
+        if v is None:
+            return whole, None, False
+        w = whole.lower()
+        at = next((k for k, (x, y) in enumerate(zip(w, v, strict=False)) if x != y), min(len(w), len(v)))
+        return whole, v, at < len(head)
+
+    if up:  # the second half has moved to the line before
+        _, v, in_head = joined(up)
+        misread = v is not None and not in_head
+        fixed = (line.lstrip().split(None, 1) + [""])[1]
+        tokens = tokens[1:]
+    if down:
+        a, b, _ = down
+        head = a.split("-")[-1]
+        whole, v, in_head = joined(down)
+        misread |= in_head
+        moved = following.lstrip().split(None, 1)[0]
+        mended = v + moved[len(b) :] if v is not None and whole.islower() else head + moved
+        if tokens:
+            fixed = fixed[: fixed.rstrip().rfind(a)] + a[: len(a) - len(head)] + mended
+        else:  # the line's only word has moved itself
+            fixed = moved
+        tokens = tokens[:-1]
+    for t in [t for t in (_bare(x) for x in tokens) if t and t not in lex.sound]:
+        v = lex.judge(t)
+        if v is not None:
+            misread = True
+            shown = v if t.islower() or not t[:1].isalpha() else v[:1].upper() + v[1:] if not t.isupper() else v.upper()
+            fixed = fixed.replace(t, shown, 1)
+    return bool(down), misread, fixed
+
+
 def repair(frames: Iterator[pd.DataFrame], model, lex: Lexicon) -> Iterator[pd.DataFrame]:
-    """Every line once: label, whether its last word is broken, whether a word was misread, and the mended text."""
+    """Every line once: label, whether its last word is broken, whether a word was misread, and the mended text.
+
+    Lines are judged within their segment: a run of lines that follow each other within the group. ``seg_page`` (its last
+    page) and slice give the order of a packet's segments. A first body line of a segment, and a last one with an open
+    word, carry ``text`` and the body lines beside it in the segment, for ``linked``.
+    """
     for f in _groups(frames):
         symbols, first = observe(f)
         label = decode(model, symbols, first)
         text = f["text"].tolist()
-        group = f["group"].tolist()
-        ctx = f["ctx"].to_numpy()
+        ctx, slices, page = f["ctx"].to_numpy(), f["slice"].to_numpy(), f["page_no"].to_numpy()
+        fresh = np.append(True, np.diff(f["group"].to_numpy()[first]) != 0)
+        goes_on = np.logical_or.reduceat(ctx > 0, first) if len(first) else np.zeros(0, dtype=bool)
+        starts = fresh | (slices[first] > 0)
+        starts[1:] |= goes_on[:-1]
+        length = np.diff(np.append(first, len(f)))
+        seg = np.repeat(starts.cumsum() - 1, length)
+        ends = np.append(np.flatnonzero(starts)[1:], len(first)) - 1
+        seg_page = page[first][ends][seg]
+        # nothing stands before the first segment of a packet's first group
+        opens = ~(fresh & (f["blk"].to_numpy()[first] == 0) & (slices[first] == 0))[starts]
         hyphen, misread = np.zeros(len(f), dtype=bool), np.zeros(len(f), dtype=bool)
-        body = [i for i in np.flatnonzero(label >= BREAK).tolist() if text[i].strip()]
-        after = {i: j for i, j in zip(body, body[1:], strict=False) if group[i] == group[j]}
         fixed = list(text)
-        skip_first: dict[int, int] = {}
-        for i in body:
-            line = text[i]
-            tokens = line.split()
-            lo = skip_first.get(i, 0)
-            if line[-1:] in BREAKS or (line.rstrip()[-1:] in BREAKS):
-                j = after.get(i)
-                got = _broken(lex, line, text[j]) if j is not None else None
-                if got:
-                    hyphen[i] = not ctx[i]
-                    a, b, _ = got
-                    skip_first[j] = 1
-                    whole = (a.split("-")[-1] + b).strip(EDGES)
-                    v = lex.judge(whole)
-                    if v is not None:
-                        w, cutat = whole.lower(), len(a.split("-")[-1])
-                        at = next((k for k, (x, y) in enumerate(zip(w, v, strict=False)) if x != y), min(len(w), len(v)))
-                        misread[i if at < cutat else j] = True
-                    rest = text[j].lstrip()
-                    moved = rest.split(None, 1)
-                    mended = v if v is not None and whole.islower() else a.split("-")[-1] + moved[0]
-                    if v is not None and whole.islower():
-                        mended += moved[0][len(b) :]
-                    fixed[i] = line[: line.rstrip().rfind(a)] + (a[: -len(a.split("-")[-1])] if "-" in a else "") + mended
-                    fixed[j] = moved[1] if len(moved) > 1 else ""
-                    tokens = tokens[:-1]
-            bad = [t for t in (_bare(x) for x in tokens[lo:]) if t and t not in lex.sound]
-            for t in bad:
-                v = lex.judge(t)
-                if v is not None:
-                    misread[i] = True
-                    shown = v if t.islower() or not t[:1].isalpha() else v[:1].upper() + v[1:] if not t.isupper() else v.upper()
-                    fixed[i] = fixed[i].replace(t, shown, 1)
-        keep = ctx == 0
+        raw, before, after = [None] * len(f), [None] * len(f), [None] * len(f)
+        at_first, at_last = np.zeros(len(f), dtype=bool), np.zeros(len(f), dtype=bool)
+        body = [i for i in np.flatnonzero((label >= BREAK) & (ctx == 0)).tolist() if text[i].strip()]
+        up = None
+        for x, i in enumerate(body):
+            h = body[x - 1] if x and seg[body[x - 1]] == seg[i] else None
+            j = body[x + 1] if x + 1 < len(body) and seg[body[x + 1]] == seg[i] else None
+            is_open = _open(text[i])
+            down = _broken(lex, text[i], text[j]) if j is not None and is_open else None
+            hyphen[i], misread[i], fixed[i] = _mend(lex, text[i], up, down, None if j is None else text[j])
+            up = down
+            at_first[i], at_last[i] = h is None and opens[seg[i]], j is None and is_open
+            if at_first[i] or at_last[i]:
+                raw[i], before[i], after[i] = text[i], None if h is None else text[h], None if j is None else text[j]
         yield pd.DataFrame(
             {
                 "packet_id": f["packet_id"],
@@ -614,14 +654,63 @@ def repair(frames: Iterator[pd.DataFrame], model, lex: Lexicon) -> Iterator[pd.D
                 "hyphen": hyphen,
                 "misread": misread,
                 "mended": fixed,
+                "seg_page": seg_page,
+                "seg": seg,
+                "opens": opens[seg],
+                "at_first": at_first,
+                "at_last": at_last,
+                "text": pd.Series(raw, dtype=object),
+                "before": pd.Series(before, dtype=object),
+                "after": pd.Series(after, dtype=object),
             }
-        )[keep]
+        )[ctx == 0]
+
+
+def linked(lines: list[dict], lex: Lexicon) -> None:
+    """Judges a packet's lines at borders (in order) anew where a word is broken across the border."""
+    got = [
+        _broken(lex, x["text"], y["text"]) if x["at_last"] and y["at_first"] else None
+        for x, y in zip(lines, lines[1:], strict=False)
+    ]
+    for k, x in enumerate(lines):
+        over, under = got[k - 1] if k else None, got[k] if k < len(got) else None
+        if not over and not under:
+            continue
+        up = over or (_broken(lex, x["before"], x["text"]) if x["before"] and _open(x["before"]) else None)
+        down = under or (_broken(lex, x["text"], x["after"]) if x["after"] and _open(x["text"]) else None)
+        following = lines[k + 1]["text"] if under else x["after"]
+        x["hyphen"], x["misread"], x["mended"] = _mend(lex, x["text"], up, down, following)
+
+
+def _bordering(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[list[dict]]]]:
+    """Of frames sorted by (edge, packet, order): the rows away from borders, and the rows at borders, whole packets."""
+    held: list[dict] = []
+    for f in frames:
+        edge = f["edge"].to_numpy(dtype=bool)
+        done: list[list[dict]] = []
+        # a packet has a few of these for each block of pages
+        for r in f[edge].astype(object).where(f[edge].notna(), None).to_dict("records"):
+            if held and held[-1]["packet_id"] != r["packet_id"]:
+                done.append(held)
+                held = []
+            held.append(r)
+        yield f[~edge], done
+    if held:
+        yield f[:0], [held]
+
+
+def _by_packet(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows at borders by packet, in order; the others spread."""
+    return rows.repartition("edge", "packet_id", F.when(~F.col("edge"), F.col(order[-2]))).sortWithinPartitions(
+        "edge", "packet_id", "seg_page", "slice", *order
+    )
 
 
 LABELS = ["header", "page_number", "break", "body"]
 _OUT = (
     "packet_id long, page_no int, n int, blk int, slice int, label int, hyphen boolean, misread boolean, mended string"
 )
+_EDGE = "at_first boolean, at_last boolean, text string, before string, after string"
 
 
 def fitted(lines: DataFrame, notebooks: DataFrame, fit_pages: int = 1500):
@@ -644,23 +733,42 @@ def fitted(lines: DataFrame, notebooks: DataFrame, fit_pages: int = 1500):
     return fit(*observe(whole))
 
 
-def repaired(lines: DataFrame, notebooks: DataFrame, fit_pages: int = 1500) -> DataFrame:
-    """One row per line with its label, defects and mended text."""
-    spark = lines.sparkSession
-    base = featured(lines, notebooks)
+def _passed(lines: DataFrame, notebooks: DataFrame, fit_pages: int):
+    """The lines in blocks, the model, and the broadcast sketch."""
     model = fitted(lines, notebooks, fit_pages)
     # a fixed number of cells, whatever the size of the corpus
-    held = spark.sparkContext.broadcast(sketched(lines.select(F.coalesce("text", F.lit("")).alias("text"))))
+    held = lines.sparkSession.sparkContext.broadcast(sketched(lines.select(F.coalesce("text", F.lit("")).alias("text"))))
+    return blocked(featured(lines, notebooks)), model, held
+
+
+def repaired(lines: DataFrame, notebooks: DataFrame, fit_pages: int = 1500, defects_only: bool = False) -> DataFrame:
+    """One row per line (with ``defects_only``, per line with a defect): its label, defects and mended text."""
+    base, model, held = _passed(lines, notebooks, fit_pages)
+    names = [c.split()[0] for c in _OUT.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return repair(frames, model, Lexicon(held.value))
+        for f in repair(frames, model, Lexicon(held.value)):
+            f["edge"] = f["text"].notna()
+            if defects_only:
+                f = f[(f["label"] < BREAK) | f["hyphen"] | f["misread"] | f["edge"]].copy()
+                f.loc[~f["edge"], "mended"] = None
+            yield f.drop(columns=["seg", "opens"])
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = Lexicon(held.value)
+        for plain, packets in _bordering(frames):
+            yield plain[names]
+            for rows in packets:
+                linked(rows, lex)
+                yield pd.DataFrame(rows)[names]
 
-    return blocked(base).mapInPandas(run, _OUT)
+    judged = base.mapInPandas(run, f"{_OUT}, seg_page int, {_EDGE}, edge boolean")
+    return _by_packet(judged, "page_no", "n").mapInPandas(settle, _OUT)
 
 
 def found(lines: DataFrame, notebooks: DataFrame) -> DataFrame:
     """(packet_id, page_no, n, defect)."""
-    r = repaired(lines, notebooks)
+    r = repaired(lines, notebooks, defects_only=True)
     defects = F.array_compact(
         F.array(
             F.when(F.col("label") == HEADER, F.lit("header")),
@@ -672,33 +780,86 @@ def found(lines: DataFrame, notebooks: DataFrame) -> DataFrame:
     return r.select("packet_id", "page_no", "n", F.explode(defects).alias("defect"))
 
 
+def _runs_on(label: int, page: int, last_page: int, so_far: str) -> bool:
+    return label == BODY or (page != last_page and not re.search(r"[.!?\"”]\s*$", so_far))
+
+
+_PIECE = "packet_id long, first_page int, first_n int, n_lines int, mended string, label int, last_page int, edge boolean, hard boolean"
+
+
+def pieces(f: pd.DataFrame) -> pd.DataFrame:
+    """Repaired lines of whole segments as paragraphs; ``edge``: may go on beyond the segment.
+
+    Lines at a border stay by themselves, as their text may change. ``hard``: begins a paragraph, whatever stands before.
+    """
+    out: list[dict] = []
+    f = f[(f["label"] >= BREAK) & ((f["mended"].str.strip() != "") | f["text"].notna())]
+    for _, own in f.groupby("seg", sort=False):
+        rows: list[dict] = []
+        inner: list[dict] = []
+        for r in own.itertuples(index=False):
+            line = r.text is not None
+            mended = r.mended.strip()
+            if not line and inner and _runs_on(r.label, r.page_no, inner[-1]["last_page"], inner[-1]["mended"]):
+                inner[-1]["n_lines"] += 1
+                inner[-1]["mended"] += " " + mended
+                inner[-1]["last_page"] = r.page_no
+                continue
+            rows.append(
+                {
+                    "packet_id": r.packet_id, "first_page": r.page_no, "first_n": r.n, "n_lines": 1, "mended": mended, "label": r.label,
+                    "last_page": r.page_no, "edge": line, "hard": bool(inner) and not line, "seg_page": r.seg_page, "slice": r.slice,
+                    "at_first": r.at_first, "at_last": r.at_last, "text": r.text, "before": r.before, "after": r.after,
+                    "hyphen": r.hyphen, "misread": r.misread,
+                }
+            )
+            if not line:
+                inner.append(rows[-1])
+        if inner:
+            inner[0]["edge"] |= bool(own["opens"].iloc[0])
+            inner[-1]["edge"] = True
+        out += rows
+    return pd.DataFrame(out, columns=[c.split()[0] for c in f"{_PIECE}, {_PLACE}, {_EDGE}".split(", ")])
+
+
+_PLACE = "seg_page int, slice int, hyphen boolean, misread boolean"
+
+
 def paragraphs(lines: DataFrame, notebooks: DataFrame) -> DataFrame:
     """(packet_id, first_page, first_n, n_lines, text): the readable paragraphs, in order, across pages.
 
-    A paragraph ends where the next line is labelled break, but not at a page border inside a sentence. It is put
-    together within a block of pages; block and slice borders end a paragraph.
+    A paragraph ends where the next line is labelled break, but not at a page border inside a sentence. Paragraphs are put
+    together within a block of pages; those at its borders meet their neighbours by packet.
     """
-    spark = lines.sparkSession
-    base = featured(lines, notebooks)
-    model = fitted(lines, notebooks)
-    held = spark.sparkContext.broadcast(sketched(lines.select(F.coalesce("text", F.lit("")).alias("text"))))
+    base, model, held = _passed(lines, notebooks, 1500)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in repair(frames, model, Lexicon(held.value)):
-            f = f[(f["label"] >= BREAK) & (f["mended"].str.strip() != "")]
-            rows: list[list] = []
-            key = last_page = None
-            for r in f.itertuples(index=False):
-                k = (r.packet_id, r.blk, r.slice)
-                runs_on = rows and k == key and (
-                    r.label == BODY or (r.page_no != last_page and not re.search(r"[.!?\"”]\s*$", rows[-1][4]))
-                )
-                if runs_on:
-                    rows[-1][3] += 1
-                    rows[-1][4] += " " + r.mended.strip()
-                else:
-                    rows.append([r.packet_id, r.page_no, r.n, 1, r.mended.strip()])
-                key, last_page = k, r.page_no
-            yield pd.DataFrame(rows, columns=["packet_id", "first_page", "first_n", "n_lines", "text"])
-
-    return blocked(base).mapInPandas(run, "packet_id long, first_page int, first_n int, n_lines int, text string")
+            yield pieces(f)
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = Lexicon(held.value)
+        names = ["packet_id", "first_page", "first_n", "n_lines", "mended"]
+        for plain, packets in _bordering(frames):
+            rows: list[dict] = []
+            for own in packets:
+                linked([r for r in own if r["text"] is not None], lex)
+                last: dict | None = None
+                for r in own:
+                    r["mended"] = r["mended"].strip()
+                    if not r["mended"]:
+                        continue
+                    if last and not r["hard"] and _runs_on(r["label"], r["first_page"], last["last_page"], last["mended"]):
+                        last["n_lines"] += r["n_lines"]
+                        last["mended"] += " " + r["mended"]
+                        last["last_page"] = r["last_page"]
+                    else:
+                        last = r
+                        rows.append(r)
+            both = pd.concat([plain[names], pd.DataFrame(rows, columns=names)]) if rows else plain[names]
+            yield both.rename(columns={"mended": "text"})
+
+    judged = base.mapInPandas(run, f"{_PIECE}, {_PLACE}, {_EDGE}")
+    return _by_packet(judged, "first_page", "first_n").mapInPandas(
+        settle, "packet_id long, first_page int, first_n int, n_lines int, text string"
+    )

@@ -102,3 +102,35 @@ def test_decoding_equals_brute_force():
 def test_page_values():
     assert [pr._value(t, False) for t in ("— l2 —", "[49]", "xlvi", "36 / 180", ".1O.", "p. 7")] == [12, 49, 46, 36, 10, 7]
     assert pr._value("151 OF TRIBUNAL AND VISIT", True) == 151 and pr._value("Winter Pages", True) is None
+
+
+def test_packets_read_on_across_every_border(spark, monkeypatch):
+    """A long packet gives the same words and paragraphs in small blocks and slices as in one."""
+    nb = spark.createDataFrame(NOTEBOOKS, "notebook_id long, title string, sections array<string>")
+    tail = "everyone learned that the orch-"
+    rows = []
+    for k in range(60):
+        rows += page(2, k, body(FILLER, FILLER))
+    for no in (62, 63, 64, 66, 127, 130):  # a page is missing at 65 and at 128
+        rows += page(1, no, [("Winter Pages", 1, None), *body("ard was cold and the wil-", "low near the marsh", FILLER, tail)])
+    rows += page(1, 129, [("Winter Pages", 1, None)])  # a page without text
+    rows += page(1, 192, body("ard was cold and the mar-")) + page(1, 256, body("sh was diffe-")) + page(1, 257, body("rcnt and cold.", FILLER))
+    df = spark.createDataFrame(rows, SCHEMA)
+
+    def run():
+        d = sorted(tuple(r) for r in pr.found(df, nb).where("packet_id = 1").collect())
+        p = sorted(tuple(r) for r in pr.paragraphs(df, nb).where("packet_id = 1").collect())
+        return d, p
+
+    small = run()
+    monkeypatch.setattr(pr, "BLOCK_PAGES", 1000)
+    whole = run()
+    assert small == whole
+    assert len(small[1]) == 1 and "orch-" not in small[1][0][4] and small[1][0][4].count("learned that the orchard was cold") == 6
+    assert "cold and the marsh was different and cold." in small[1][0][4]
+    assert (1, 63, 5, "hyphen") in small[0] and (1, 66, 5, "hyphen") in small[0] and (1, 257, 1, "misread") in small[0]
+    monkeypatch.setattr(pr, "SLICE_LINES", 3)
+    monkeypatch.setattr(pr, "HALO_LINES", 1)
+    sliced = run()
+    assert {x for x in sliced[0] if x[3] == "hyphen"} == {x for x in whole[0] if x[3] == "hyphen"}
+    assert " ".join(x[4] for x in sliced[1]) == " ".join(x[4] for x in whole[1])
