@@ -22,11 +22,16 @@ def _tokens(s, d):
     return _docs(s, d).select("doc_id", F.size(t).alias("n_tokens"), F.array_join(F.slice(t, 1, 5), "|").alias("first_tokens"))
 
 
-def _words(s, d):
-    each = _docs(s, d).where("lower(trim(lang)) in ('en', 'eng')").select(F.explode(tx.tokens(F.col("text"))).alias("word"))
+def _words(docs):
+    each = docs.select(F.explode(tx.tokens(F.col("text"))).alias("word"))
     return each.select(F.lower("word").alias("word")).distinct()
 
 
+def _english(s, d):
+    """The documents that the SQL of ``vowel_groups`` reads."""
+    return _docs(s, d).where("lower(trim(lang)) in ('en', 'eng')")
+
+
 def _numbers(s, d):
     r = sy.of_number(F.col("o_orderkey").cast("string"))
     return table(s, d, "orders").select("o_orderkey", r["lo"].alias("lo"), r["hi"].alias("hi"))
@@ -73,8 +78,8 @@ QUERIES = {
     "rot13": lambda s, d: table(s, d, "notebooks").select("notebook_id", tx.rotated(F.col("title"), 13).alias("rot13"), tx.rotated(F.col("title"), 3).alias("caesar3")),
     "sniffed_formats": lambda s, d: table(s, d, "files").select("file_id", tx.sniffed_format(F.col("path"), F.col("head")).alias("format")),
     "number_syllables": _numbers,
-    "vowel_groups": lambda s, d: _words(s, d).select("word", sy.vowel_groups(F.col("word")).cast("long").alias("groups")),
-    "word_syllables": lambda s, d: sy.word_syllables(_words(s, d)),
+    "vowel_groups": lambda s, d: _words(_english(s, d)).select("word", sy.vowel_groups(F.col("word")).cast("long").alias("groups")),
+    "word_syllables": lambda s, d: sy.word_syllables(_words(_docs(s, d))),
     "base64_fixity": _intact,
     "fenced_json": _reply,
     "letter_frequency": lambda s, d: _docs(s, d)

@@ -217,3 +217,11 @@ def test_bytes_for_json(spark):
     assert one(spark, by.json_safe(F.col("b")), b=b"plain\x00\x00")[0] == "plain"
     assert one(spark, by.json_safe(F.col("b")), b=b"\xff\x00")[0] == "base64:/wA="
     assert one(spark, by.json_safe(F.col("b"), 3), b=b"12345")[0] == "<5 bytes>"
+
+
+def test_word_syllables_reads_documents_of_any_lang(spark, tmp_path):
+    from quillspan.plans import text
+
+    docs = [(1, "en", "heron"), (2, "en-GB", "colour"), (3, None, "marsh"), (4, "und", "willow"), (5, "fr", "orage")]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.word for r in text.QUERIES["word_syllables"](spark, str(tmp_path)).collect()} == {"heron", "colour", "marsh", "willow", "orage"}
