@@ -7,8 +7,10 @@ numbers of the other pages. The model is fitted by Baum-Welch on a bounded sampl
 decoded by Viterbi. Body lines are then joined: a broken word is closed, a misread character is judged against counts
 of all words and word parts of the whole collection.
 
-Scale. Counts go into a count-min sketch of fixed size (3 x 2^21 cells): what is broadcast does not grow with the data.
-Lines are shuffled once, by packet, block of 64 pages and slice of 5,000 lines of a page, so that neither a packet nor a
+Scale. Counts go into two count-min sketches, of words and of word parts, twice as wide as there are keys and at most
+3 x 2^22 cells each: what is broadcast is bounded, and packed, as most cells are small. Words inside a line are judged
+where the line is read; what is shuffled, once, is a line's key, layout, first and last token (its whole text only where
+the text is asked for), by packet, block of 64 pages and slice of 5,000 lines of a page, so that neither a packet nor a
 page with a third of all rows meets in one task. Within a task lines stream page by page; the memory of a task is a block.
 What stands at a border (the first and last body line, the open paragraphs) meets its neighbours in a second small shuffle
 by packet, so that words and paragraphs read on across every border, whatever pages are missing or without text there.
@@ -21,11 +23,17 @@ Defined results
   columns are read, whatever else the input has.
 * A broken word is a case only if a body line follows that goes on with a letter, and only if the corpus does not know
   the two parts better as a compound that keeps its hyphen.
+* A word has at most 40 characters; a longer run without blanks is no word, is not counted and is no case. Parts are
+  counted of words of 6 to 24 letters. A head or page number is a line of at most 64 characters in a paragraph of at most
+  two lines.
+* Beyond 2^21 distinct words cells of the sketch are shared as a rule; what the median cell holds is then taken off
+  every count. Up to there a count is off only by chance, at every size of the input alike.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,8 +43,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.session import cut
+
 BLOCK_PAGES, SLICE_LINES, HALO_LINES = 64, 5000, 8
-WIDTH_BITS, DEPTH = 21, 3
+LEAST_BITS, MOST_BITS, DEPTH = 12, 22, 3
 
 #: Characters that end the first half of a broken word.
 BREAKS = "-‐­=¬"
@@ -147,79 +157,98 @@ def words_of(text: Column) -> Column:
     )
 
 
-def sketched(lines: DataFrame) -> np.ndarray:
-    """Count-min sketch of all words, and of the prefixes and suffixes of all distinct words; of fixed size."""
-    words = lines.select(F.explode(words_of(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    size = F.length("w")
-    part = F.col("w").rlike(r"^\p{L}{6,24}$")
-    steps = F.sequence(F.lit(3), F.greatest(size - 3, F.lit(3)))
-    parts = F.when(
-        part,
-        F.concat(
-            F.transform(steps, lambda i: F.concat(F.lit("p:"), F.substring("w", F.lit(1), i))),
-            F.transform(steps, lambda i: F.concat(F.lit("s:"), F.substring("w", i + 1, size))),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    keys = words.select(
-        F.inline(
-            F.concat(
-                F.array(F.struct(F.concat(F.lit("w:"), F.col("w")).alias("k"), F.col("c").alias("c"))),
-                F.transform(parts, lambda k: F.struct(k.alias("k"), F.lit(1).cast("bigint").alias("c"))),
-            )
-        )
-    )
-    h = F.xxhash64("k")
-    mask = (1 << WIDTH_BITS) - 1
-    cells = keys.select(
-        "c",
+def _cells(keys: DataFrame, bits: int) -> np.ndarray:
+    """Count-min sketch of (k, c): DEPTH rows of 2^bits cells, as many rows at most as reach the driver."""
+    h, mask = F.xxhash64("k"), (1 << bits) - 1
+    at = [F.shiftrightunsigned(h, d * 21).bitwiseAND(F.lit(mask)) + F.lit(d << bits) for d in range(DEPTH)]
+    rows = keys.select("c", F.explode(F.array(*at)).alias("cell")).groupBy("cell").agg(F.sum("c").alias("c")).toPandas()
+    sketch = np.zeros(DEPTH << bits, dtype=np.uint32)
+    sketch[rows["cell"].to_numpy(dtype=np.int64)] = np.minimum(rows["c"].to_numpy(dtype=np.int64), (1 << 32) - 1)
+    return sketch
+
+
+def sketched(lines: DataFrame) -> tuple[bytes, bytes]:
+    """Packed sketches of all words, and of the prefixes and suffixes of all distinct words."""
+    words = cut(lines.select(F.explode(words_of(F.col("text"))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c")))
+    size = F.length("k")
+    steps = F.sequence(F.lit(3), size - 3)
+    parts = words.where(F.col("k").rlike(r"^\p{L}{6,24}$")).select(
         F.explode(
-            F.array(
-                *[
-                    F.shiftrightunsigned(h, d * WIDTH_BITS).bitwiseAND(F.lit(mask)) + F.lit(d << WIDTH_BITS)
-                    for d in range(DEPTH)
-                ]
+            F.concat(
+                F.transform(steps, lambda i: F.concat(F.lit("p:"), F.substring("k", F.lit(1), i))),
+                F.transform(steps, lambda i: F.concat(F.lit("s:"), F.substring("k", i + 1, size))),
             )
-        ).alias("cell"),
+        ).alias("k")
     )
-    # at most DEPTH x 2^WIDTH_BITS rows reach the driver, whatever the input
-    rows = cells.groupBy("cell").agg(F.sum("c").alias("c")).toPandas()
-    sketch = np.zeros(DEPTH << WIDTH_BITS, dtype=np.int64)
-    sketch[rows["cell"].to_numpy(dtype=np.int64)] = rows["c"].to_numpy(dtype=np.int64)
-    return sketch
+    parts = cut(parts.groupBy("k").agg(F.count(F.lit(1)).alias("c")))
+    return tuple(zlib.compress(_cells(t, _bits(t.count())).tobytes(), 1) for t in (words, parts))
+
+
+def _bits(keys: int) -> int:
+    """Twice as many cells in a row as keys, within bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, (2 * keys).bit_length()))
 
 
 # ---- words -------------------------------------------------------------------------------------------------------
 
 
+def _noise(sketch: np.ndarray) -> int:
+    """What chance puts into a cell."""
+    return int(np.median(sketch[: len(sketch) // DEPTH]))
+
+
+def _counter(sketch: np.ndarray):
+    """The count of a key, as a function."""
+    width, get, floor = len(sketch) // DEPTH, sketch.item, _noise(sketch)
+    mask = width - 1
+
+    def count(key: str) -> int:
+        h = xxhash.xxh64_intdigest(key.encode(), 42)
+        least = get(h & mask)
+        for d in range(1, DEPTH):
+            if not least:
+                return 0
+            least = min(least, get(((h >> (d * 21)) & mask) + d * width))
+        return max(0, least - floor)
+
+    return count
+
+
+class _Raw(dict):
+    """Whether a token as it stands in a line is misread; a memory only, judgements do not depend on it."""
+
+    def __init__(self, lex: Lexicon) -> None:
+        self.lex = lex
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 400_000:
+            self.clear()
+        w = _bare(token)
+        out = self[token] = bool(w) and self.lex.judge(w) is not None
+        return out
+
+
 @dataclass
 class Lexicon:
     """Counts of words and word parts, and the judgement of words by them, remembered per worker."""
 
-    sketch: np.ndarray
+    packed: tuple[bytes, bytes]
     memo: dict = field(default_factory=dict)
     sound: set = field(default_factory=set)
 
     def __post_init__(self) -> None:
-        rows = self.sketch.reshape(DEPTH, 1 << WIDTH_BITS)
-        self._floor = int(rows[0].sum() >> WIDTH_BITS)  # what chance puts into a cell
-        self._cell = self.sketch.item
-
-    def count(self, key: str) -> int:
-        h = xxhash.xxh64_intdigest(key.encode(), 42)
-        mask, get = (1 << WIDTH_BITS) - 1, self._cell
-        least = min(get(((h >> (d * WIDTH_BITS)) & mask) + (d << WIDTH_BITS)) for d in range(DEPTH))
-        return max(0, least - self._floor)
-
-    def word(self, w: str) -> int:
-        return self.count("w:" + w)
+        words, parts = (np.frombuffer(zlib.decompress(p), dtype=np.uint32) for p in self.packed)
+        self.word, self.part = _counter(words), _counter(parts)
+        self._floor = _noise(words)
+        self.raw = _Raw(self)
 
     def shape(self, w: str) -> int:
         """How well ``w`` is made of known parts: the best cut's weaker part, in distinct words."""
         best = 0
         if 6 <= len(w) <= 24 and w.isalpha():
             for i in range(3, len(w) - 2):
-                p = self.count("p:" + w[:i])
-                if p > best and (s := self.count("s:" + w[i:])) > best:
+                p = self.part("p:" + w[:i])
+                if p > best and (s := self.part("s:" + w[i:])) > best:
                     best = min(p, s)
         return best
 
@@ -246,7 +275,7 @@ class Lexicon:
             return best
         own, most = self.shape(w), 0
         for v in self.readings(w):
-            if v.isalpha() and (k := self.shape(v)) > most and k >= 12 + self._floor and k >= 6 * own:
+            if v.isalpha() and (k := self.shape(v)) > most and k >= 12 and k >= 6 * own:
                 best, most = v, k
         return best
 
@@ -605,6 +634,18 @@ def _mend(lex: Lexicon, line: str, up, down, following: str | None) -> tuple[boo
     return bool(down), misread, fixed
 
 
+def narrowed(frames: Iterator[pd.DataFrame], lex: Lexicon) -> Iterator[pd.DataFrame]:
+    """Lines that cannot be heads or numbers, cut down to first and last token; ``inner``: a word between is misread."""
+    misread = lex.raw.__getitem__
+    for f in frames:
+        inner, texts = [False] * len(f), f["text"].tolist()
+        for i in np.flatnonzero(f["look"].to_numpy() == 0).tolist():
+            tokens = texts[i].split()
+            if len(tokens) > 2:
+                inner[i], texts[i] = any(map(misread, tokens[1:-1])), f"{tokens[0]} {tokens[-1]}"
+        yield f.assign(text=texts, inner=inner)
+
+
 def repair(frames: Iterator[pd.DataFrame], model, lex: Lexicon) -> Iterator[pd.DataFrame]:
     """Every line once: label, whether its last word is broken, whether a word was misread, and the mended text.
 
@@ -615,7 +656,7 @@ def repair(frames: Iterator[pd.DataFrame], model, lex: Lexicon) -> Iterator[pd.D
     for f in _groups(frames):
         symbols, first = observe(f)
         label = decode(model, symbols, first)
-        text = f["text"].tolist()
+        text, inner = f["text"].tolist(), f["inner"].to_numpy()
         ctx, slices, page = f["ctx"].to_numpy(), f["slice"].to_numpy(), f["page_no"].to_numpy()
         fresh = np.append(True, np.diff(f["group"].to_numpy()[first]) != 0)
         goes_on = np.logical_or.reduceat(ctx > 0, first) if len(first) else np.zeros(0, dtype=bool)
@@ -639,6 +680,7 @@ def repair(frames: Iterator[pd.DataFrame], model, lex: Lexicon) -> Iterator[pd.D
             is_open = _open(text[i])
             down = _broken(lex, text[i], text[j]) if j is not None and is_open else None
             hyphen[i], misread[i], fixed[i] = _mend(lex, text[i], up, down, None if j is None else text[j])
+            misread[i] |= inner[i]
             up = down
             at_first[i], at_last[i] = h is None and opens[seg[i]], j is None and is_open
             if at_first[i] or at_last[i]:
@@ -659,6 +701,7 @@ def repair(frames: Iterator[pd.DataFrame], model, lex: Lexicon) -> Iterator[pd.D
                 "opens": opens[seg],
                 "at_first": at_first,
                 "at_last": at_last,
+                "inner": inner,
                 "text": pd.Series(raw, dtype=object),
                 "before": pd.Series(before, dtype=object),
                 "after": pd.Series(after, dtype=object),
@@ -680,6 +723,7 @@ def linked(lines: list[dict], lex: Lexicon) -> None:
         down = under or (_broken(lex, x["text"], x["after"]) if x["after"] and _open(x["text"]) else None)
         following = lines[k + 1]["text"] if under else x["after"]
         x["hyphen"], x["misread"], x["mended"] = _mend(lex, x["text"], up, down, following)
+        x["misread"] |= x["inner"]
 
 
 def _bordering(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[list[dict]]]]:
@@ -710,40 +754,50 @@ LABELS = ["header", "page_number", "break", "body"]
 _OUT = (
     "packet_id long, page_no int, n int, blk int, slice int, label int, hyphen boolean, misread boolean, mended string"
 )
-_EDGE = "at_first boolean, at_last boolean, text string, before string, after string"
+_EDGE = "at_first boolean, at_last boolean, inner boolean, text string, before string, after string"
 
 
-def fitted(lines: DataFrame, notebooks: DataFrame, fit_pages: int = 1500):
-    """The model, from the ``fit_pages`` pages of smallest hash and at most 400 lines of each."""
-    pages = (
-        lines.select("packet_id", "page_no").distinct().orderBy(F.xxhash64("packet_id", "page_no")).limit(fit_pages)
-    )
-    picked = lines.where("n <= 400").join(
-        F.broadcast(pages), ["packet_id", "page_no"], "left_semi"  # at most fit_pages rows
-    )
+_LINE = "packet_id long, page_no int, n int, par_size int, gap_before double, at long, text string, look int, inner boolean"
+
+
+def fitted(lines: DataFrame, notebooks: DataFrame, fit_pages: int = 1500, fit_lines: int = 60_000):
+    """The model, from whole pages: at most ``fit_pages``, of smallest hash, with at most ``fit_lines`` lines in all."""
+    sizes = lines.groupBy("packet_id", "page_no").agg(F.count(F.lit(1)).alias("c"))
+    rows = sizes.where("packet_id is not null and page_no is not null").orderBy(F.xxhash64("packet_id", "page_no")).take(fit_pages)
+    room, kept = fit_lines, []
+    for packet, page, c in rows:
+        if c <= room:
+            kept.append((packet, page))
+            room -= c
+    if not kept:
+        return fit(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    pages = lines.sparkSession.createDataFrame(kept, "packet_id long, page_no int")
+    picked = lines.join(F.broadcast(pages), ["packet_id", "page_no"], "left_semi")  # at most fit_pages rows
     sample = (
         featured(picked, notebooks)
         .withColumns({"blk": F.lit(0), "slice": F.lit(0), "ctx": F.lit(0)})
         .toPandas()
         .sort_values(["packet_id", "page_no", "n", "at"])
     )
-    whole = next(_groups(iter([sample]), least=1 << 60), None)
-    if whole is None:
-        return fit(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-    return fit(*observe(whole))
+    return fit(*observe(next(_groups(iter([sample]), least=1 << 60))))
 
 
-def _passed(lines: DataFrame, notebooks: DataFrame, fit_pages: int):
-    """The lines in blocks, the model, and the broadcast sketch."""
+def _passed(lines: DataFrame, notebooks: DataFrame, fit_pages: int, narrow: bool):
+    """The lines in blocks, the model, and the broadcast sketches."""
     model = fitted(lines, notebooks, fit_pages)
-    # a fixed number of cells, whatever the size of the corpus
+    # a bounded number of cells, whatever the size of the corpus
     held = lines.sparkSession.sparkContext.broadcast(sketched(lines.select(F.coalesce("text", F.lit("")).alias("text"))))
-    return blocked(featured(lines, notebooks)), model, held
+    seen = featured(lines, notebooks)
+    if narrow:
+        seen = seen.mapInPandas(lambda frames: narrowed(frames, Lexicon(held.value)), _LINE)
+    else:
+        seen = seen.withColumn("inner", F.lit(False))
+    return blocked(seen), model, held
 
 
 def repaired(lines: DataFrame, notebooks: DataFrame, fit_pages: int = 1500, defects_only: bool = False) -> DataFrame:
     """One row per line (with ``defects_only``, per line with a defect): its label, defects and mended text."""
-    base, model, held = _passed(lines, notebooks, fit_pages)
+    base, model, held = _passed(lines, notebooks, fit_pages, defects_only)
     names = [c.split()[0] for c in _OUT.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -809,7 +863,7 @@ def pieces(f: pd.DataFrame) -> pd.DataFrame:
                 {
                     "packet_id": r.packet_id, "first_page": r.page_no, "first_n": r.n, "n_lines": 1, "mended": mended, "label": r.label,
                     "last_page": r.page_no, "edge": line, "hard": bool(inner) and not line, "seg_page": r.seg_page, "slice": r.slice,
-                    "at_first": r.at_first, "at_last": r.at_last, "text": r.text, "before": r.before, "after": r.after,
+                    "at_first": r.at_first, "at_last": r.at_last, "inner": r.inner, "text": r.text, "before": r.before, "after": r.after,
                     "hyphen": r.hyphen, "misread": r.misread,
                 }
             )
@@ -831,7 +885,7 @@ def paragraphs(lines: DataFrame, notebooks: DataFrame) -> DataFrame:
     A paragraph ends where the next line is labelled break, but not at a page border inside a sentence. Paragraphs are put
     together within a block of pages; those at its borders meet their neighbours by packet.
     """
-    base, model, held = _passed(lines, notebooks, 1500)
+    base, model, held = _passed(lines, notebooks, 1500, False)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in repair(frames, model, Lexicon(held.value)):
