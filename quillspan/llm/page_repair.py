@@ -147,14 +147,18 @@ def blocked(lines: DataFrame) -> DataFrame:
     )
 
 
-def words_of(text: Column) -> Column:
-    """Lower-case words without edge punctuation; the first half of a broken word at the line's end is left out."""
-    spaced = F.translate(F.lower(text), "\t\n\r\u00a0\u2009", "     ")
-    cut_off = F.substring(F.rtrim(spaced), -1, 1).isin(list(BREAKS))
-    whole = F.when(cut_off, F.regexp_replace(spaced, r"\S+\s*$", "")).otherwise(spaced)
-    return F.filter(
-        F.transform(F.split(whole, " "), lambda w: F.btrim(w, F.lit(EDGES))), lambda w: F.length(w).between(1, 40)
-    )
+def raw_tokens(text: Column) -> Column:
+    """What blanks separate; the first half of a broken word at the line's end is left out."""
+    spaced = F.rtrim(F.translate(text, "\t\n\r\u00a0\u2009", "     "))
+    cut_off = F.substring(spaced, -1, 1).isin(list(BREAKS))
+    return F.split(F.when(cut_off, F.regexp_replace(spaced, r"\S+$", "")).otherwise(spaced), " ")
+
+
+def word_counts(lines: DataFrame) -> DataFrame:
+    """(k, c): lower-case words without edge punctuation. Tokens are counted as they stand, so that only distinct ones are trimmed."""
+    tokens = lines.select(F.explode(raw_tokens(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    trimmed = tokens.select(F.btrim(F.lower("t"), F.lit(EDGES)).alias("k"), "c").where(F.length("k").between(1, 40))
+    return trimmed.groupBy("k").agg(F.sum("c").alias("c"))
 
 
 def _cells(keys: DataFrame, bits: int) -> np.ndarray:
@@ -169,7 +173,7 @@ def _cells(keys: DataFrame, bits: int) -> np.ndarray:
 
 def sketched(lines: DataFrame) -> tuple[bytes, bytes]:
     """Packed sketches of all words, and of the prefixes and suffixes of all distinct words."""
-    words = cut(lines.select(F.explode(words_of(F.col("text"))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c")))
+    words = cut(word_counts(lines))
     size = F.length("k")
     steps = F.sequence(F.lit(3), size - 3)
     parts = words.where(F.col("k").rlike(r"^\p{L}{6,24}$")).select(
