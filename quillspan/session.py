@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder and drop its lineage.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a folder of its own is taken.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session (tests, a laptop) may leave
+    it unset: it takes a folder of its own. On a cluster a machine's own folder would be lost with the machine.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspan-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspan-"))
     return df.checkpoint(eager=True)
