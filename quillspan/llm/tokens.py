@@ -14,20 +14,24 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-def encoding(path: str):
+def encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def counted(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """``documents`` plus ``n_tokens``; 0 for null and empty texts. A map: no shuffle, whole texts."""
+    """``documents`` plus ``n_tokens``; 0 for null and empty texts. A map: no shuffle, whole texts.
+
+    The vocabulary file is read once, where the query is made, and travels with the job: workers need no copy of it.
+    """
+    with open(path, "rb") as f:
+        held = documents.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: about a megabyte
 
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(path)
+        enc = encoding(held.value)
         for texts in parts:
             yield texts.map(lambda t: len(enc.encode_ordinary(t)) if t else 0).astype("int64")
 
