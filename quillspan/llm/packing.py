@@ -110,6 +110,19 @@ def configurations(size: np.ndarray, need: np.ndarray, room: int, rounds: int =
     return used
 
 
+def configured(capacity: int, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, int]]]:
+    """Group ends and configurations for the large texts of a capacity, given as a histogram of sizes, ascending.
+
+    Sizes are rounded up to whole units. One that would not fit any more is taken as the whole room: its text stands alone.
+    """
+    end = linear_groups(tokens, counts)
+    unit = max(1, capacity // UNITS)
+    room = capacity // unit
+    size = np.minimum(-(-end // unit), room)
+    need = np.bincount(np.searchsorted(end, tokens), weights=counts, minlength=len(end)).astype(np.int64)
+    return end, configurations(size, need, room)
+
+
 def slots(used: list[tuple[np.ndarray, int]], groups: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per group: first rank, first container and slots a container, for each configuration that has slots for it."""
     out = {}
@@ -219,11 +232,7 @@ def packed(
     for (name, capacity), h in histogram.groupby(["container", "capacity"]):
         h = h.sort_values("tokens")
         big = h[h["tokens"] * LARGE > capacity]
-        end = linear_groups(big["tokens"].to_numpy(), big["count"].to_numpy())
-        unit = max(1, capacity // UNITS)
-        size = -(-end // unit)
-        need = np.bincount(np.searchsorted(end, big["tokens"]), weights=big["count"], minlength=len(end)).astype(np.int64)
-        used = configurations(size, need, capacity // unit)
+        end, used = configured(capacity, big["tokens"].to_numpy(), big["count"].to_numpy())
         ends[name, capacity] = end
         plans[name, capacity] = slots(used, len(end))
         rows[name, capacity] = (int(big["count"].sum()), sum(n for _, n in used), int(h["count"].sum() - big["count"].sum()))

@@ -1,8 +1,11 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quillspan.llm import packing as pk
 from quillspan.llm.tokens import VOCABULARY, counted, encoding
@@ -26,7 +29,7 @@ def packed(spark):
 
 def test_every_piece_once_and_no_container_too_full(packed):
     rows, got = packed
-    enc = encoding(VOCABULARY)
+    enc = encoding(Path(VOCABULARY).read_bytes())
     size = {r[0]: len(enc.encode_ordinary(r[1])) for r in rows if r[1]}
     for (name, cap), g in got.groupby(["container", "capacity"]):
         assert (name, cap) in (("small", 128), ("large", 1024))
@@ -67,6 +70,31 @@ def test_configurations_serve_all_within_room():
         assert sum(n for _, n in used) <= len(rooms) + len(size)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 5000), st.lists(st.tuples(st.floats(0.25, 1.0), st.integers(1, 50)), min_size=1, max_size=30))
+def test_any_capacity_has_configurations(capacity, shares):
+    """Every large text finds a slot and no container is too full, also for texts one short of the capacity."""
+    h = {}
+    for share, n in [*shares, (1.0, 3)]:
+        t = min(capacity - 1, int(share * capacity) + 1)
+        if t * pk.LARGE > capacity:
+            h[t] = h.get(t, 0) + n
+    sizes = np.array(sorted(h), dtype=np.int64)
+    end, used = pk.configured(capacity, sizes, np.array([h[t] for t in sizes], dtype=np.int64))
+    need = np.bincount(np.searchsorted(end, sizes), weights=[h[t] for t in sizes], minlength=len(end))
+    assert all(c @ end <= capacity for c, _ in used)
+    assert (sum((c * n for c, n in used), np.zeros(len(end))) >= need).all()
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 1538, 2050, 4099])
+def test_texts_around_the_capacity(spark, capacity):
+    rows = [(i, n) for i, n in enumerate([capacity - 1, capacity, capacity + 1, 2 * capacity - 1, max(1, capacity // 2), 1] * 4)]
+    docs = spark.createDataFrame([(i, " a" * n) for i, n in rows], "doc_id long, text string")
+    got = pk.packed(docs, spark.createDataFrame([("c", capacity)], "container string, capacity_tokens int")).toPandas()
+    assert got.groupby("doc_id")["tokens"].sum().to_dict() == {i: n for i, n in rows if n}
+    assert not len(got) or got.groupby("bin")["tokens"].sum().max() <= capacity
+
+
 def test_pricing_against_brute_force():
     size, value = np.array([3, 5, 7]), np.array([0.31, 0.55, 0.71])
     best = max(a * 0.31 + b * 0.55 + c * 0.71 for a in range(8) for b in range(5) for c in range(4) if 3 * a + 5 * b + 7 * c <= 22)
