@@ -12,8 +12,10 @@ as it can be with every source exactly at its share, so the scarcest source leav
 given ``total`` a source that cannot give its share gives all it may, and the report says so.
 
 Scale. The driver holds a table of at most ``blocks`` x sources sizes and the draws made of it; texts meet their draws in
-a join with that bounded table on (source, block), so a source with a third of all rows is spread over its blocks and no
-group of texts is formed anywhere.
+a join on (source, block), so a source with a third of all rows is spread over its blocks and no group of texts is formed
+anywhere. The draws are broadcast up to ``BROADCAST_DRAWS`` rows and shuffled beyond. The number of shards follows the size
+of the mix (``shard_tokens`` each, and not so many that a shard has fewer than 32 draws); the mix is written by ranges of
+(shard, position), so that a shard larger than a task's share is written by several tasks.
 
 Defined results
 ---------------
@@ -36,6 +38,8 @@ from quillspan.session import cut
 
 #: A value of ``total``: no text of a source with a share is left out.
 WHOLE = "whole"
+#: Rows of the table of draws (four small columns) that a broadcast may have.
+BROADCAST_DRAWS = 500_000
 
 
 def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -48,7 +52,9 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.concatenate([split_tree(got, left, rng), split_tree(quotas - got, shards - left, rng)])
 
 
-def plan(sizes: pd.DataFrame, targets: pd.DataFrame, total: float | str | None, shards: int, seed: int) -> pd.DataFrame:
+def plan(
+    sizes: pd.DataFrame, targets: pd.DataFrame, total: float | str | None, shards: int | None, seed: int, shard_tokens: int = 1 << 22
+) -> pd.DataFrame:
     """The draws: (source, block, use, shard). ``sizes``: source, block, tokens; ``targets``: source, share, repeats."""
     rng = np.random.default_rng(seed)
     held = sizes.groupby("source")["tokens"].sum()
@@ -83,6 +89,8 @@ def plan(sizes: pd.DataFrame, targets: pd.DataFrame, total: float | str | None,
         rows = [(b, u) for u in range(passes) for b in block] + [(block[i], passes) for i in part]
         draws.append([rows[i] for i in rng.permutation(len(rows))])
     quotas = np.array([len(d) for d in draws], dtype=np.int64)
+    if shards is None:
+        shards = max(1, min(int(want.sum() // shard_tokens) + 1, int(quotas.sum()) // 32))
     dealt = split_tree(quotas, shards, rng)
     out = []
     for s, name in enumerate(t["source"]):
@@ -133,22 +141,21 @@ def mixed(
     documents: DataFrame,
     targets: DataFrame,
     total: float | str | None = None,
-    shards: int = 64,
+    shards: int | None = None,
     blocks: int = 2048,
     seed: int = 17,
     tokenizer: str = VOCABULARY,
+    shard_tokens: int = 1 << 22,
 ) -> DataFrame:
-    """(shard, position_key, source, doc_id, use, n_tokens): the mix, sorted by shard and position within its files."""
+    """(shard, position_key, source, doc_id, use, n_tokens): the mix, its files ordered by shard and position."""
     held, sizes, aims = _prepared(documents, targets, tokenizer, blocks)
-    draws = documents.sparkSession.createDataFrame(
-        plan(sizes, aims, total, shards, seed), "source string, block int, use int, shard int"
-    )
-    # at most blocks x sources x repeats rows
+    drawn = plan(sizes, aims, total, shards, seed, shard_tokens)
+    draws = documents.sparkSession.createDataFrame(drawn, "source string, block int, use int, shard int")
     return (
-        held.join(F.broadcast(draws), ["source", "block"])
+        held.join(F.broadcast(draws) if len(drawn) <= BROADCAST_DRAWS else draws, ["source", "block"])
         .withColumn("position_key", F.xxhash64(F.lit(seed), "source", "doc_id", "use"))
         .select("shard", "position_key", "source", "doc_id", "use", "n_tokens")
-        .repartition("shard")
+        .repartitionByRange("shard", "position_key")
         .sortWithinPartitions("shard", "position_key")
     )
 

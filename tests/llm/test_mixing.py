@@ -83,3 +83,12 @@ def test_whole_mix_keeps_its_last_block():
         t = pd.DataFrame({"source": list("abc"), "share": shares, "repeats": [1, 2, 3]})
         got = mx.plan(sizes, t, mx.WHOLE, 8, 1)
         assert len(got[["source", "block"]].drop_duplicates()) == 150 and not got.duplicated(["source", "block", "use"]).any()
+
+
+def test_shards_follow_the_size_of_the_mix(spark, tables, monkeypatch):
+    docs, targets = tables
+    few, many = (mx.mixed(docs, targets, shard_tokens=n) for n in (1 << 22, 1000))
+    assert few.select("shard").distinct().count() == 1 and many.select("shard").distinct().count() > 10
+    monkeypatch.setattr(mx, "BROADCAST_DRAWS", 0)
+    shuffled = mx.mixed(docs, targets, shard_tokens=1000)
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, many.collect()))
