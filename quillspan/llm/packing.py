@@ -185,6 +185,8 @@ def best_fit(frame: pd.DataFrame) -> pd.DataFrame:
     capacity, shard = int(frame["capacity"].iloc[0]), int(frame["shard"].iloc[0])
     rooms = frame[(frame["piece"] < 0) & (frame["tokens"] > 0)].sort_values(["tokens", "bin"])
     items = frame[frame["piece"] >= 0].sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True])
+    if not len(items):
+        return pd.DataFrame()  # an empty frame with text columns is no result
     free: dict[int, list[str]] = {}
     mask = 0
     for room, name in zip(rooms["tokens"].tolist(), rooms["bin"].tolist(), strict=True):
