@@ -2,19 +2,26 @@
 
 Method. Every listing is a leaf of its collection's directory tree. Merkle hashes are computed bottom-up over the trees;
 a subtree (a leaf included) that hangs in unrelated collections was written by neither of them: vendored. Rules over the
-head and the layout of a file catch what was generated, minified or is data, and copies seen in one place only.
+head and the layout of a file catch what was generated, minified or is data. Only where the trees are silent, because a
+copy hangs in one collection alone, do its header or a conventional directory name tell that it is one.
 
-The hash of a directory is a multiset hash: the sum, modulo 2^64 twice over, of a keyed hash of each distinct
-(name, child hash). Sums combine before the shuffle, so that a directory with a third of all files is no hot group, and
-no list of children is ever collected. One aggregation makes each directory's own sum; then one small aggregation per
-level carries directories into their parents, over directories only, from the deepest level up.
+Unrelated are collections of different origin. A collection of which more than half of the files hang in directories that
+another has at the same place with the same files is a fork or mirror of it: both have one origin, and what they share was
+not copied in from elsewhere. A collection whose whole tree hangs as a directory in others is that package's home: it wrote
+its files itself.
+
+The hash of a directory is a multiset hash, the exclusive or of keyed hashes of its members: first of its own files (name,
+content), then, per directory, of that hash and the way down to it, for every directory above. Both combine before the
+shuffle, so that a directory with a third of all files is no hot group; no list of children is ever collected, and the
+number of steps does not depend on how deep the trees are.
 
 Defined results
 ---------------
 * A file listed again is judged again, under each id. Paths are compared with ``/`` for ``\\``, without ``./``, doubled
   slashes and outer blanks, and in lower case for the rules.
 * Null ``length`` or ``line_count``: layout is judged by the head alone. Null or empty ``head``: by path and hash. Null
-  path: by hash and head. Null or empty ``sha256``, and files of length 0, share nothing.
+  path: by hash and head. A null or empty ``sha256`` equals no other; a directory with such a file equals none. Empty files
+  tell nothing, neither alone nor where a directory has no others. Null collections share nothing.
 * Names alone convict nobody but in the directories that by convention hold copies or output: a ``.min.`` file must be
   dense, ``generate_x`` and ``vendor_x`` are hand-written until their content says otherwise.
 * Empty tables give empty results; extra columns are ignored; several reasons of one file are all recorded, in order.
@@ -22,13 +29,15 @@ Defined results
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.session import cut
 
+#: The share of its files that a collection must have in common with another, place by place, to be of its origin.
+FORK_SHARE = 0.5
+#: Rows (two names) of the table of forks that a broadcast may have.
+BROADCAST_FORKS = 100_000
 #: Directories that by convention hold copies of others' code.
 VENDOR_DIRS = "vendor|vendored|third_party|thirdparty|third-party|node_modules|bower_components|site-packages|extern|external|deps"
 #: Directories and names that by convention hold the output of a tool.
@@ -79,8 +88,9 @@ def _longest_line(head: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.split(head, "\n"), F.length)), F.lit(0))
 
 
-def file_rules() -> Column:
-    """array<string>: the reasons that a file's own columns give, in a fixed order."""
+def file_rules() -> tuple[Column, Column]:
+    """Two array<string> of reasons that a file's own columns give, in a fixed order: of files that nobody wrote, and of
+    copies, for where the trees are silent."""
     path, head = F.lower(F.col("_path")), F.coalesce("head", F.lit(""))
     comments = _comments(head)
     bytes_a_line = F.col("length") / F.when(F.col("line_count") > 0, F.col("line_count"))
@@ -96,159 +106,159 @@ def file_rules() -> Column:
     dense = (_longest_line(head) >= LONG_LINE) & (F.coalesce(bytes_a_line, F.lit(1e9)) >= DENSE_BYTES) | (
         (bytes_a_line >= 4 * DENSE_BYTES) & (_longest_line(head) >= LONG_LINE / 2)
     )
-    return F.array_compact(
-        F.array(
-            F.when(F.exists(comments, lambda c: c.rlike(GENERATED)), "generated: header"),
-            F.when(path.rlike(OUTPUT_PATH), "generated: output directory"),
-            F.when(data, "data: literal bulk"),
-            F.when(dense & ~data, "minified: dense lines"),
-            F.when(path.rlike(rf"(^|/)({VENDOR_DIRS})/"), "vendored: directory"),
-            F.when(F.exists(comments, lambda c: c.rlike(COPIED)), "vendored: header"),
-        )
+    unwritten = F.array(
+        F.when(F.exists(comments, lambda c: c.rlike(GENERATED)), "generated: header"),
+        F.when(path.rlike(OUTPUT_PATH), "generated: output directory"),
+        F.when(data, "data: literal bulk"),
+        F.when(dense & ~data, "minified: dense lines"),
+    )
+    copied = F.array(
+        F.when(F.exists(comments, lambda c: c.rlike(COPIED)), "vendored: header"),
+        F.when(path.rlike(rf"(^|/)({VENDOR_DIRS})/"), "vendored: directory"),
     )
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.array_compact(unwritten), none), F.coalesce(F.array_compact(copied), none)
 
 
 # ---- Merkle trees -----------------------------------------------------------------------------------------------
 
 
-def _mix(seed: int, *cols: Column) -> Column:
-    """A 64-bit keyed hash, as a decimal so that sums cannot overflow."""
-    return F.xxhash64(F.lit(seed), *cols).cast("decimal(38,0)")
-
-
-def _wrap(total: Column) -> Column:
-    """A sum of hashes, folded back to 64 bits."""
-    return F.pmod(total, F.lit(str(1 << 64)).cast("decimal(38,0)"))
-
+def _both(name: str, *cols: Column) -> list[Column]:
+    """Two 64-bit keyed hashes, ``name``1 and ``name``2."""
+    return [F.xxhash64(F.lit(seed), *cols).alias(f"{name}{seed}") for seed in (1, 2)]
+
+
+def placed(files: DataFrame) -> DataFrame:
+    """Listings as leaves: collection, _dir, the keys of directory (d), leaf (l) and content (c), and whether it tells alone."""
+    path, sha = clean_path(F.col("path")), F.lower(F.trim("sha256"))
+    known = F.coalesce(sha != "", F.lit(False))
+    content = F.when(known, sha).otherwise(F.concat_ws("/", F.lit("?"), "collection", path))
+    directory = F.regexp_replace(path, r"/?[^/]*$", "")
+    return files.select(
+        "*",
+        directory.alias("_dir"),
+        F.xxhash64("collection").alias("_col"),
+        *_both("_d", F.col("collection"), directory),
+        *_both("_l", F.regexp_extract(path, r"([^/]*)$", 1), content),
+        *_both("_c", content),
+        (known & F.col("collection").isNotNull() & F.coalesce(F.col("length") > 0, F.lit(True))).alias("_tells"),
+    )
 
-def leaves(files: DataFrame) -> DataFrame:
-    """Distinct (collection, dir, name, content) of the files that have content; a file listed twice is one leaf.
 
-    ``content`` is 16 bytes that stand for the checksum, however that is spelled.
-    """
-    path = clean_path(F.col("path"))
+def own_directories(files: DataFrame) -> DataFrame:
+    """(collection, dir, d1, d2, o1, o2, own_files, telling) of the directories that hold files; a file listed twice counts once."""
+    leaves = placed(files.where("collection is not null and path is not null")).groupBy("collection", "_d1", "_d2", "_l1", "_l2")
     return (
-        files.where("collection is not null and path is not null and sha256 is not null and sha256 != ''")
-        .where("length is null or length > 0")
-        .select(
-            "collection",
-            F.regexp_replace(path, r"/?[^/]*$", "").alias("dir"),
-            F.regexp_extract(path, r"([^/]*)$", 1).alias("name"),
-            F.unhex(F.md5(F.lower("sha256"))).alias("content"),
+        leaves.agg(F.first("_dir").alias("dir"), F.max("_tells").alias("_tells"))
+        .groupBy("collection", "_d1", "_d2")
+        .agg(
+            F.first("dir").alias("dir"),
+            F.bit_xor("_l1").alias("o1"),
+            F.bit_xor("_l2").alias("o2"),
+            F.count(F.lit(1)).alias("own_files"),
+            F.count_if("_tells").alias("telling"),
         )
-        .distinct()
+        .withColumnsRenamed({"_d1": "d1", "_d2": "d2"})
     )
 
 
-def _ancestors(path: str):
-    """array<string>: a directory and everything above it, the root ('') included."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-
-
-def merkle_directories(files: DataFrame, of_leaves: DataFrame | None = None) -> DataFrame:
-    """(collection, dir, h1, h2, n_files): the Merkle hash and size of every directory, bottom-up."""
-    lv = leaves(files) if of_leaves is None else of_leaves
-    own = lv.groupBy("collection", "dir").agg(
-        _wrap(F.sum(_mix(1, F.col("name"), F.col("content")))).alias("o1"),
-        _wrap(F.sum(_mix(2, F.col("name"), F.col("content")))).alias("o2"),
-        F.count(F.lit(1)).alias("own_files"),
-    )
-    own = cut(own)
-    # every ancestor is a directory too, whether or not it holds files itself
-    every = own.select("collection", F.explode(_ancestors("dir")).alias("dir")).distinct()
-    dirs = cut(
-        every.join(own, ["collection", "dir"], "left")
-        .fillna(0, ["o1", "o2", "own_files"])
-        .withColumn("depth", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/"))))
-    )
-    deepest = dirs.agg(F.max("depth")).first()[0] or 0
-    done, below = [], None
-    for depth in range(deepest, -1, -1):
-        level = dirs.where(F.col("depth") == depth)
-        if below is None:
-            level = level.select("collection", "dir", F.col("o1").alias("h1"), F.col("o2").alias("h2"), F.col("own_files").alias("n_files"))
-        else:
-            level = (
-                level.join(below, ["collection", "dir"], "left")
-                .select(
-                    "collection",
-                    "dir",
-                    _wrap(F.col("o1") + F.coalesce("c1", F.lit(0))).alias("h1"),
-                    _wrap(F.col("o2") + F.coalesce("c2", F.lit(0))).alias("h2"),
-                    (F.col("own_files") + F.coalesce("cn", F.lit(0))).alias("n_files"),
-                )
-            )
-        level = cut(level)  # the next level reads it, and so does the result
-        done.append(level)
-        name = F.regexp_extract("dir", r"([^/]*)$", 1)
-        below = (
-            level.where("dir != ''")
-            .groupBy("collection", F.regexp_replace("dir", r"/?[^/]*$", "").alias("dir"))
-            .agg(
-                F.sum(_mix(3, name, F.col("h1"))).alias("c1"),
-                F.sum(_mix(4, name, F.col("h2"))).alias("c2"),
-                F.sum("n_files").alias("cn"),
+def _upwards(own: DataFrame) -> DataFrame:
+    """A row for each directory and each directory above it, itself and the root included: keys a1, a2 and the way down."""
+    names = F.filter(F.split("dir", "/"), lambda x: x != "")
+    depth = F.size("_n")
+    return own.withColumn("_n", names).select(
+        "*",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), depth),
+                lambda k: F.struct(
+                    F.array_join(F.slice("_n", F.lit(1), k), "/").alias("above"),
+                    F.array_join(F.slice("_n", k + 1, depth), "/").alias("way"),
+                ),
             )
-        )
-    return reduce(DataFrame.unionByName, done)
+        ).alias("_u"),
+    ).select("*", *_both("a", F.col("collection"), F.col("_u.above")), (F.col("_u.above") == "").alias("root"))
 
 
-def shared_subtrees(files: DataFrame, least: int = 2) -> DataFrame:
-    """(h1, h2, n_collections, n_files): directory contents found in at least ``least`` collections.
+def _trees(own: DataFrame) -> DataFrame:
+    """(collection, a1, a2, root, h1, h2, n_files, telling): key, Merkle hash and size of every directory.
 
     The name a directory goes by is no part of its own hash, so ``lib-1.0`` and ``lib`` with equal content are equal.
     """
-    return (
-        merkle_directories(files)
-        .where("n_files > 0")
-        .groupBy("h1", "h2")
-        .agg(F.countDistinct("collection").alias("n_collections"), F.max("n_files").alias("n_files"))
-        .where(F.col("n_collections") >= least)
+    return _upwards(own).groupBy("collection", "a1", "a2", "root").agg(*_sums())
+
+
+def _sums() -> list[Column]:
+    hashes = [F.bit_xor(F.xxhash64(F.lit(k + 2), "_u.way", "o1", "o2")).alias(f"h{k}") for k in (1, 2)]
+    return [*hashes, F.sum("own_files").alias("n_files"), F.sum("telling").alias("telling")]
+
+
+def merkle_directories(files: DataFrame) -> DataFrame:
+    """(collection, dir, h1, h2, n_files): the Merkle hash and size of every directory by its path."""
+    up = _upwards(own_directories(files)).withColumn("dir", F.col("_u.above"))
+    return up.groupBy("collection", "dir").agg(*_sums()).drop("telling")
+
+
+def origins(own: DataFrame) -> DataFrame:
+    """(collection, origin) of the collections that are forks or mirrors of another."""
+    place = ["_p", "o1", "o2"]
+    at = own.select("collection", F.xxhash64("dir").alias("_p"), "o1", "o2", "own_files")
+    common = at.groupBy(*place).agg(F.min("collection").alias("origin"), F.max("collection").alias("_m")).where("origin < _m")
+    shared = (
+        at.join(common.drop("_m"), place).where("collection != origin").groupBy("collection", "origin").agg(F.sum("own_files").alias("n"))
     )
+    most = shared.groupBy("collection").agg(F.max(F.struct("n", "origin")).alias("x"))
+    total = own.groupBy("collection").agg(F.sum("own_files").alias("total"))
+    return most.join(total, "collection").where(F.col("x.n") > FORK_SHARE * F.col("total")).select("collection", "x.origin")
+
 
+def _with_origin(df: DataFrame, forks: DataFrame) -> DataFrame:
+    """``df`` with ``origin``. ``forks`` is materialised, so that counting it costs nothing."""
+    few = forks.count() <= BROADCAST_FORKS
+    return df.join(F.broadcast(forks) if few else forks, "collection", "left").withColumn("origin", F.coalesce("origin", "collection"))
 
-def vendored_leaves(files: DataFrame) -> DataFrame:
-    """(_f1, _f2), the keys of leaves under a directory, or being a leaf, whose Merkle hash unrelated collections share."""
-    lv = cut(leaves(files))
-    trees = cut(merkle_directories(files, lv).where("n_files > 0"))
-    shared = trees.groupBy("h1", "h2").agg(F.countDistinct("collection").alias("_c")).where("_c >= 2").select("h1", "h2")
-    roots = trees.join(shared, ["h1", "h2"]).select("collection", F.col("dir").alias("_root"))
-    # which directories lie under a shared one is found among directories, before leaves are touched
-    under = (
-        trees.select("collection", "dir", F.explode(_ancestors("dir")).alias("_root"))
-        .join(roots, ["collection", "_root"], "left_semi")
-        .select(*_key("_d", "collection", "dir"))
-        .distinct()
+
+def _unrelated(df: DataFrame, *key: str) -> DataFrame:
+    """``key`` and ``inside`` (not only as a root) of what collections of different origin hold."""
+    both = df.groupBy(*key).agg(F.min("origin").alias("_a"), F.max("origin").alias("_b"), (~F.min("root")).alias("inside"))
+    return both.where("_a < _b").drop("_a", "_b")
+
+
+def shared_subtrees(files: DataFrame) -> DataFrame:
+    """(h1, h2, n_collections, n_files): directory contents found in unrelated collections."""
+    own = cut(own_directories(files))
+    trees = _with_origin(_trees(own).where("telling > 0"), cut(origins(own)))
+    per = trees.groupBy("h1", "h2", "collection").agg(F.max("n_files").alias("n_files"), F.max("origin").alias("origin"))
+    held = per.groupBy("h1", "h2").agg(
+        F.count(F.lit(1)).alias("n_collections"), F.max("n_files").alias("n_files"), (F.min("origin") < F.max("origin")).alias("_apart")
     )
-    # from here on 16 bytes stand for a place, so that no path is shuffled again
-    placed = lv.select("content", *_key("_d", "collection", "dir"), *_key("_f", "collection", "dir", "name"))
-    single = lv.groupBy("content").agg(F.countDistinct("collection").alias("_c")).where("_c >= 2").select("content")
-    inside = placed.join(under, ["_d1", "_d2"], "left_semi").select("_f1", "_f2")
-    alone = placed.select("content", "_f1", "_f2").join(single, "content", "left_semi").select("_f1", "_f2")
-    return inside.unionByName(alone).distinct()
+    return held.where("_apart").drop("_apart")
 
 
-def _key(name: str, *columns: str) -> list[Column]:
-    """Two 64-bit hashes of a place."""
-    return [F.xxhash64(F.lit(seed), *columns).alias(f"{name}{seed}") for seed in (1, 2)]
+def vendored_places(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_d1, _d2, home): directories in or under a subtree that unrelated collections share, and all directories of the
+    homes of such subtrees; and (_c1, _c2): contents that unrelated collections share."""
+    own = cut(own_directories(files))
+    forks = cut(origins(own))
+    trees = cut(_with_origin(_trees(own).where("telling > 0"), forks))
+    hung = trees.join(_unrelated(trees, "h1", "h2"), ["h1", "h2"])
+    homes = hung.where("root and inside").select("collection").distinct()
+    roots = hung.where("not root").select("a1", "a2")
+    under = _upwards(own).join(roots, ["a1", "a2"], "left_semi").select("d1", "d2", F.lit(False).alias("home"))
+    at_home = own.join(homes, "collection", "left_semi").select("d1", "d2", F.lit(True).alias("home"))
+    marked = under.unionByName(at_home).groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).agg(F.max("home").alias("home"))
+    alone = placed(files).where("_tells").select("collection", "_c1", "_c2", F.lit(False).alias("root"))
+    return marked, _unrelated(_with_origin(alone, forks), "_c1", "_c2").drop("inside")
 
 
 def judged(files: DataFrame) -> DataFrame:
     """(file_id, collection, path, reasons, handwritten) for every listing."""
-    base = files.withColumn("_path", clean_path(F.col("path"))).select(
-        "file_id", "collection", "path", "_path", file_rules().alias("_rules")
-    )
-    keyed = (
-        base.withColumn("_dir", F.regexp_replace("_path", r"/?[^/]*$", ""))
-        .withColumn("_name", F.regexp_extract("_path", r"([^/]*)$", 1))
-        .select("file_id", "collection", "path", "_rules", *_key("_f", "collection", "_dir", "_name"))
-    )
-    shared = vendored_leaves(files).withColumn("_shared", F.lit("vendored: shared subtree"))
-    out = keyed.join(shared, ["_f1", "_f2"], "left")
-    reasons = F.when(F.col("_shared").isNull(), F.coalesce("_rules", F.array())).otherwise(
-        F.array_append(F.coalesce("_rules", F.array()), F.col("_shared"))
-    )
-    return out.select("file_id", "collection", "path", reasons.alias("reasons")).withColumn(
-        "handwritten", F.size("reasons") == 0
-    )
+    unwritten, copied = file_rules()
+    leaves = placed(files).withColumn("_path", clean_path(F.col("path")))
+    base = leaves.select("file_id", "collection", "path", "_d1", "_d2", "_c1", "_c2", "_tells", unwritten.alias("_unwritten"), copied.alias("_copied"))
+    marked, single = vendored_places(files)
+    out = base.join(marked, ["_d1", "_d2"], "left").join(single.withColumn("_single", F.lit(True)), ["_c1", "_c2"], "left")
+    # the mark of a directory says false (a copy), true (at home) or nothing
+    shared = ~F.coalesce("home", ~(F.col("_tells") & F.col("_single").isNotNull()))
+    reasons = F.concat("_unwritten", F.when(shared, F.array(F.lit("vendored: shared subtree"))).otherwise(F.col("_copied")))
+    return out.select("file_id", "collection", "path", reasons.alias("reasons")).withColumn("handwritten", F.size("reasons") == 0)

@@ -106,5 +106,39 @@ def test_merkle_hashes(spark):
     assert {(r.n_collections, r.n_files) for r in shared} >= {(2, 2)}
 
 
+def test_the_tree_alone_convicts(spark):
+    """No path, header or layout tells; a directory copied whole does, and so do its small and empty members."""
+    got = reasons(
+        spark,
+        ("r1", "src/parts/a.py", 900, 40, "p1", CODE), ("r1", "src/parts/__init__.py", 0, 0, "e0", ""), ("r1", "src/own.py", 900, 40, "q1", CODE),
+        ("r2", "tools/read/a.py", 900, 40, "p1", CODE), ("r2", "tools/read/__init__.py", 0, 0, "e0", ""), ("r2", "tools/own.py", 900, 40, "q2", CODE),
+        ("r3", "x/a.py", 900, 40, "p1", CODE), ("r3", "x/b.py", 900, 40, "q3", CODE), ("r3", "y/__init__.py", 0, 0, "e0", ""), ("r4", "z/__init__.py", 0, 0, "e0", ""),
+    )
+    yes, no = ["vendored: shared subtree"], []
+    assert got == [yes, yes, no, yes, yes, no, yes, no, no, no]
+
+
+def test_forks_and_homes_wrote_their_files(spark):
+    base = [("src/a.py", "a"), ("src/b.py", "b"), ("lib/c.py", "c"), ("lib/d.py", "d")]
+    row = lambda c, p, sha: (c, p, 900, 40, sha, CODE)
+    fork = [row("main", *x) for x in base] + [row("fork", *x) for x in base] + [row("fork", "new/e.py", "e")]
+    assert not any(reasons(spark, *fork))
+    kit = [("a.js", "k1"), ("sub/b.js", "k2")]
+    home = [row("kit", *x) for x in kit] + [row("app", f"code/kit/{p}", s) for p, s in kit] + [row("app", "main.js", "m")]
+    assert [bool(r) for r in reasons(spark, *home)] == [False, False, True, True, False]
+    both = [row("kit", *x) for x in kit] + [row(c, f"{c}/kit/{p}", s) for c in ("app", "web") for p, s in kit]
+    assert [bool(r) for r in reasons(spark, *both)] == [False, False, True, True, True, True]
+
+
+def test_deep_paths_and_unknown_contents(spark):
+    deep = "/".join(f"d{i}" for i in range(400))
+    got = reasons(
+        spark,
+        ("r1", f"{deep}/k/a.py", 900, 40, "p1", CODE), ("r1", f"{deep}/k/b.py", 900, 40, "p2", CODE), ("r2", "k2/a.py", 900, 40, "p1", CODE), ("r2", "k2/b.py", 900, 40, "p2", CODE),
+        ("r3", "m/a.py", None, None, "p9", CODE), ("r3", "m/b.py", 900, 40, None, CODE), ("r4", "n/a.py", None, None, "P9 ", CODE), ("r4", "n/b.py", 900, 40, None, CODE),
+    )
+    assert [bool(r) for r in got] == [True, True, True, True, True, False, True, False]
+
+
 def test_empty_table(spark):
     assert sh.judged(table(spark, [])).count() == 0
