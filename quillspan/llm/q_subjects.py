@@ -1,25 +1,13 @@
 """p8: subject areas of documents."""
 
-from pyspark.sql import functions as F
-
 from quillspan.llm import subjects as sj
 from quillspan.session import table
 
 
-def _found(s, d):
-    return sj.found(table(s, d, "documents"), table(s, d, "subject_labels"), table(s, d, "subjects"))
-
-
-def _composition(s, d):
-    """How much of the corpus each subject holds, in documents and characters; the rest under null."""
-    docs = table(s, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
-    return (
-        docs.join(_found(s, d), "doc_id", "left")
-        .groupBy("subject")
-        .agg(F.countDistinct("doc_id").alias("documents"), F.sum("n").alias("characters"))
-    )
+def _on(f):
+    return lambda s, d: f(table(s, d, "documents"), table(s, d, "subject_labels"), table(s, d, "subjects"))
 
 
-QUERIES = {"p8_found": _found, "p8_composition": _composition}
+QUERIES = {"p8_found": _on(sj.found), "p8_composition": _on(sj.composition)}
 
 ORACLE: dict[str, str] = {}

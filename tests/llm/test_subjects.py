@@ -74,6 +74,54 @@ def test_fit_is_bounded(corpus):
     assert sj.labelled(docs, labels, subjects, sj.Params(max_labelled=7)).count() == 7
 
 
+def test_fit_is_bounded_in_characters(corpus):
+    docs, labels, subjects, _ = corpus
+    p = sj.Params(max_labelled_chars=3000)
+    kept = sj._sampled(docs, labels, subjects, p).collect()
+    assert 0 < sum(len(r.text) for r in kept) <= 3000 < sum(len(r.text) for r in sj.labelled(docs, labels, subjects, p).collect())
+
+
+def test_acceptance_is_fitted_to_held_out_labels(corpus):
+    docs, labels, subjects, truth = corpus
+    _, own = sj.trained(docs, labels, subjects)
+    assert len(own) == 3 and own[0] != sj.Params() and 0.1 <= own[0].share_of_text <= 0.3
+    got = sj.pd.DataFrame({"of_text": [0.5, 0.5, 0.24, 0.24], "of_attributed": [0.9, 0.9, 0.24, 0.24], "true": [1.0, 1.0, 0.0, 0.0]})
+    assert sj._thresholds(got, 2, sj.Params()).share_of_attributed > 0.24
+    assert sj._thresholds(got.iloc[:0], 0, sj.Params()) == sj.Params()
+
+
+def test_scoring_equals_a_loop_over_sentences():
+    rng = random.Random(3)
+    index = {"en": {"heron": 0, "the heron": 1, "marsh": 2, "old marsh": 3}, "de": {"heron": 0}}
+    scores = {"en": np.array([[2.0, 0.1], [3.0, -1.0], [0.0, 4.0], [0.5, 5.0]]), "de": np.array([[9.0, 0.0]])}
+    m = sj.Model.of(index, scores, 2)
+    texts = [None, ""] + [" ".join(rng.choice(["the", "old", "heron", "marsh", "x;", "cold.", "\n", "of"]) for _ in range(rng.randrange(1, 300))) for _ in range(40)]
+    texts += ["der heron und die das", "the heron " * 200]
+    got = {(int(a), int(b)): (c, d) for part in m.held(texts, 1.0) for a, b, c, d in zip(*part, strict=True)}
+    want = {}
+    for k, t in enumerate(texts):
+        sents = sj.sentences(t or "")
+        lang, by, n = sj.language(sents), np.zeros(2), 0
+        for s in sents:
+            for i in range(0, len(s), sj.STRETCH):
+                v = np.zeros(2)
+                for j in range(i, min(i + sj.STRETCH, len(s))):
+                    r = index.get(lang, {}).get(f"{s[j - 1]} {s[j]}" if j else "", index.get(lang, {}).get(s[j]))
+                    v += scores[lang][r] if r is not None else 0
+                w = min(sj.STRETCH, len(s) - i)
+                n += w
+                if v.max() > 1.0:
+                    by[v.argmax()] += w
+        want |= {(k, j): (by[j] / n, by[j] / by.sum()) for j in range(2) if by[j]}
+    assert got.keys() == want.keys() and all(np.allclose(got[x], want[x]) for x in want)
+
+
+def test_composition_sums_to_the_corpus(corpus):
+    docs, labels, subjects, _ = corpus
+    r = sj.composition(docs, labels, subjects).collect()
+    assert abs(sum(x.characters for x in r) - sum(len(t.text or "") for t in docs.select("text").collect())) <= len(r)
+
+
 def test_languages():
     assert [sj.language(sj.sentences(t)) for t in ("Das war nicht so einfach.", "Ce n'est pas la question.", "It was not the case.", "")] == ["de", "fr", "en", "en"]
 
