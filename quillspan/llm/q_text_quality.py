@@ -8,7 +8,7 @@ from quillspan.session import table
 QUERIES = {
     "p5_found": lambda s, d: tq.found(table(s, d, "documents"), table(s, d, "line_analyses")),
     "p5_reasons": lambda s, d: tq.judged(tq.statistics(table(s, d, "documents"), table(s, d, "line_analyses"))).select(
-        "doc_id", "kind", F.array_join("reasons", "; ").alias("reasons")
+        "doc_id", "kind", F.array_join("reasons", "; ").alias("reasons"), F.array_join("failures", "; ").alias("failures")
     ),
     "p5_counts": lambda s, d: tq.text_statistics(table(s, d, "documents")).select(
         "doc_id", "n_chars", "n_ink", "n_lines", "n_letters", "n_digits"

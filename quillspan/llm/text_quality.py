@@ -2,9 +2,16 @@
 
 Method. Length, symbol, punctuation, bullet, separator and common-word statistics are counted over the whole text by
 Catalyst expressions, in one pass over ``documents`` without a shuffle; the lines' own figures are reduced to one row per
-document and joined. Fixed thresholds in the manner of published corpus filters (word and line counts, mean word length,
-symbol share, bullet share, repeated lines, terminal punctuation, stop words) then give every failed rule with its reason;
-the kind is that of the first failed rule, junk before table before list.
+document and joined. Two sets of fixed thresholds are then applied, each failure with its reason:
+
+* ``failures``: published rules with their published numbers (:data:`PUBLISHED`), from three public corpus filters
+  (Gopher, C4, FineWeb), on words, mean word length, symbols, bullets, ellipses, ended, short and repeated lines and stop
+  words; the lines' own figures (letter ratio, words, exclusions) are held against the same numbers. A document that
+  passes them all is natural text.
+* ``reasons``: of the documents that fail any, what they are. The published rules are made for long English web pages and
+  also fail verse, notes and other languages; so own thresholds on layout and wording (:func:`kinds`) tell junk, tables
+  and lists from natural text that merely is short or wrapped. The kind is that of the first reason, junk before table
+  before list.
 
 Defined results
 ---------------
@@ -32,9 +39,6 @@ CLAUSE_WORDS = {
     "sommes avons son se toujours cela",
 }
 _CLAUSE = sorted({w for v in CLAUSE_WORDS.values() for w in v.split()})
-#: Articles and connectives; with the clause words they are the common words.
-_LINKS = "the a an and of for der die das ein eine und den dem für le la les de des du un une et pour".split()
-
 _WORD = r"\p{L}+(?:['’-]\p{L}+)?"
 _END = r"[.!?…][\"'”’)\]]?[ \t]*$"
 _BULLET = r"^[ \t]*(?:[-*•+‣–·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\[[ xX]?\])[ \t]+"
@@ -52,6 +56,10 @@ _HEX = r"^[0-9a-fA-F]{4,8}:?[ \t]+[0-9a-fA-F]{2}[ \t][0-9a-fA-F]{2}[ \t][^\n]*$"
 _NAV = r"^[ \t]*[^\s>|»\n][^>|»\n]{0,24} [>|»] [^>|»\n]{1,24}[^\n]*$"
 
 
+#: The stop words of which Gopher's filter wants two.
+STOP_WORDS = "the be to of and that have with".split()
+
+
 def _n(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
@@ -103,6 +111,11 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         _ink(t).alias("n_ink"),
         F.size(lines).cast("long").alias("n_lines"),
         F.size(F.array_distinct(lines)).cast("long").alias("n_distinct_lines"),
+        F.size(F.filter(lines, lambda x: F.length(x) < 30)).cast("long").alias("n_short_lines"),
+        F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in STOP_WORDS]))).cast("long").alias("n_stop_words"),
+        _n(t, r"(?<!\S)[^\s\p{L}]+(?!\S)").alias("n_letterless_tokens"),
+        _n(t, r"#|\.\.\.|…").alias("n_hashes_and_ellipses"),
+        F.when(t.rlike(r"\.\.\.|…"), _n(t, r"(?m)(?:\.\.\.|…)[ \t]*$")).otherwise(0).cast("long").alias("n_ellipsis_lines"),
         F.size(words).cast("long").alias("n_words"),
         F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
         F.length(F.regexp_replace(t, r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
@@ -119,7 +132,6 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         _n(t, "(?m)" + _BULLET).alias("n_bullets"),
         _n(t, r"[;,](?= )").alias("n_separators"),
         _among(words, _CLAUSE).alias("n_clause_words"),
-        _among(words, _LINKS).alias("n_link_words"),
         (_ink(t) - _ink(F.col("_rows"))).alias("ink_rows"),
         F.when(t.rlike("(?m)" + _HEX), _ink(t) - _ink(_without(t, _HEX))).otherwise(0).alias("ink_hex"),
         F.when(t.rlike(" [>|»] "), _ink(t) - _ink(_without(t, _NAV))).otherwise(0).alias("ink_nav"),
@@ -160,8 +172,48 @@ def _share(a: str, b: str) -> Column:
     return F.coalesce(F.col(a) / F.when(F.col(b) > 0, F.col(b)), F.lit(0.0))
 
 
+def published() -> dict[str, Column]:
+    """The published rules, by reason: Rae et al. 2021 (Gopher, A.1.1), Raffel et al. 2020 (C4, 2.2), Penedo et al. 2024 (FineWeb, 3.6)."""
+    words, lines = F.col("n_words"), F.col("n_lines")
+    mean_word = _share("n_ink", "n_tokens")
+    analysed = F.col("analysed_lines") > 0
+    return {
+        "gopher: words not within 50 and 100000": ~words.between(50, 100_000),
+        "gopher: mean word length not within 3 and 10": ~mean_word.between(3, 10),
+        "gopher: hashes and ellipses over 0.1 a word": _share("n_hashes_and_ellipses", "n_tokens") > 0.1,
+        "gopher: bullets on over 0.9 of lines": _share("n_bullets", "n_lines") > 0.9,
+        "gopher: ellipses end over 0.3 of lines": _share("n_ellipsis_lines", "n_lines") > 0.3,
+        "gopher: letters in under 0.8 of words": _share("n_letterless_tokens", "n_tokens") > 0.2,
+        "gopher: fewer than 2 stop words": F.col("n_stop_words") < 2,
+        "gopher: over 0.3 of lines are repetitions": (lines - F.col("n_distinct_lines")) > 0.3 * lines,
+        "c4: fewer than 3 sentences": F.col("n_sentences") < 3,
+        "fineweb: punctuation ends at most 0.12 of lines": _share("n_ended_lines", "n_lines") <= 0.12,
+        "fineweb: at least 0.67 of lines under 30 characters": _share("n_short_lines", "n_lines") >= 0.67,
+        "lines: letter ratio under 0.8": analysed & (F.col("mean_letter_ratio") < 0.8),
+        "lines: fewer than 5 words a line": analysed & (F.col("mean_words") < 5),
+        "lines: over 0.9 excluded": analysed & (F.col("excluded_lines") > 0.9 * F.col("analysed_lines")),
+    }
+
+
+def _failed(rules: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()]))
+
+
 def judged(stats: DataFrame) -> DataFrame:
-    """``stats`` with ``reasons`` (every failed rule, in order) and ``kind`` (null where the text is natural)."""
+    """``stats`` with ``failures`` (published rules), ``reasons`` (every rule of a kind that holds) and ``kind``.
+
+    Without failures there are no reasons; without reasons the text is natural and ``kind`` null.
+    """
+    suspect = F.size("failures") > 0
+    return (
+        stats.withColumn("failures", _failed(published()))
+        .withColumn("reasons", F.when(suspect, _failed(kinds())).otherwise(F.array().cast("array<string>")))
+        .withColumn("kind", F.when(F.size("reasons") > 0, F.substring_index(F.element_at("reasons", 1), ":", 1)))
+    )
+
+
+def kinds() -> dict[str, Column]:
+    """What shows that a suspect text is junk, a table or a list, in order of precedence."""
     ink, words, lines = F.col("n_ink"), F.col("n_words"), F.col("n_lines")
     rows = _share("ink_rows", "n_ink")
     letters = _share("n_letters", "n_ink")
@@ -199,18 +251,7 @@ def judged(stats: DataFrame) -> DataFrame:
             (words >= 6) & (_share("n_separators", "n_words") > 0.2) & (clauses < 0.06) & (F.col("n_sentences") <= 1),
         ),
     ]
-    reasons = F.array_compact(
-        F.array(
-            *[
-                F.when(F.coalesce(c, F.lit(False)), F.lit(f"{kind}: {name}"))
-                for kind, rules in (("junk", junk), ("table", table), ("list", listed))
-                for name, c in rules
-            ]
-        )
-    )
-    return stats.withColumn("reasons", reasons).withColumn(
-        "kind", F.when(F.size("reasons") > 0, F.substring_index(F.element_at("reasons", 1), ":", 1))
-    )
+    return {f"{kind}: {name}": c for kind, rules in (("junk", junk), ("table", table), ("list", listed)) for name, c in rules}
 
 
 def found(documents: DataFrame, line_analyses: DataFrame) -> DataFrame:

@@ -87,3 +87,26 @@ def test_empty_and_repeated(spark):
     assert tq.found(spark.createDataFrame([], DOCS), lines(spark)).count() == 0
     two = spark.createDataFrame([(1, "click here\n" * 9, 0, ""), (2, "click here\n" * 9, 0, "")], DOCS)
     assert sorted(r.doc_id for r in tq.found(two, lines(spark)).collect()) == [1, 2]
+
+
+def test_published_rules_have_their_reasons(spark):
+    words = "the heron watched the marsh and the willow was old".split()
+    prose = " ".join(words * 2) + ". " + " ".join(words * 2) + ". " + " ".join(words * 2) + "."
+    texts = [prose, "\n".join(f"- {w} and so" for w in words * 8), " ".join("internationalisation" for _ in range(60)), prose.replace(".", " ..."), "cold\n" * 60]
+    docs = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], DOCS)
+    t = dt.datetime(2024, 1, 1)
+    analysed = lines(spark, [(0, 1, 0.5, 2, ["x"], t, "")])
+    got = {r.doc_id: set(r.failures) for r in tq.judged(tq.statistics(docs, analysed)).collect()}
+    assert got[0] == {"lines: letter ratio under 0.8", "lines: fewer than 5 words a line", "lines: over 0.9 excluded"}
+    assert "gopher: bullets on over 0.9 of lines" in got[1] and "fineweb: punctuation ends at most 0.12 of lines" in got[1]
+    assert {"gopher: mean word length not within 3 and 10", "gopher: fewer than 2 stop words"} <= got[2]
+    assert "gopher: ellipses end over 0.3 of lines" in got[3]
+    assert {"gopher: over 0.3 of lines are repetitions", "fineweb: at least 0.67 of lines under 30 characters"} <= got[4]
+
+
+def test_a_text_that_fails_no_published_rule_is_natural(spark):
+    stats = tq.statistics(spark.createDataFrame([(1, "click here\n" * 9, 0, "")], DOCS), lines(spark))
+    assert tq.judged(stats).first().kind == "junk"
+    passing = {"n_words": 100, "n_tokens": 100, "n_ink": 500, "n_bullets": 0, "n_stop_words": 3, "n_sentences": 5, "n_ended_lines": 9, "n_short_lines": 0}
+    clean = stats.withColumns({k: tq.F.lit(v) for k, v in passing.items()}).withColumn("n_distinct_lines", tq.F.col("n_lines"))
+    assert tq.judged(clean).first().kind is None and tq.judged(clean).first().failures == []
