@@ -57,8 +57,7 @@ def exclusions(text: Column, words: Column, lo: Column, hi: Column, conf: Column
 def analysed(lines: DataFrame, options: Options = Options(), exceptions: DataFrame | None = None) -> DataFrame:
     """``lines`` with clean ``verse_text``, syl_lo, syl_hi, word_count, breakdown, letter_ratio, excluded."""
     marked = lines.withColumn("verse_text", tx.without_marks(F.coalesce("text", F.lit(""))))
-    counted = syllables.line_syllables(marked, _KEY, "verse_text", exceptions)
-    out = marked.join(counted, _KEY, "left").withColumn("letter_ratio", F.bround(tx.letter_ratio(F.col("verse_text")), 2))
+    out = syllables.with_syllables(marked, "verse_text", exceptions).withColumn("letter_ratio", F.bround(tx.letter_ratio(F.col("verse_text")), 2))
     why = exclusions(*[F.col(c) for c in ("verse_text", "word_count", "syl_lo", "syl_hi", "conf", "kind")], options)
     return out.withColumn("excluded", why)
 
