@@ -129,7 +129,7 @@ def _both(name: str, *cols: Column) -> list[Column]:
 
 
 def placed(files: DataFrame) -> DataFrame:
-    """Listings as leaves: collection, _dir, the keys of directory (d), leaf (l) and content (c), and whether it tells alone."""
+    """Listings as leaves: the keys of collection, directory (d), leaf (l) and content (c), and whether it tells alone."""
     path, sha = clean_path(F.col("path")), F.lower(F.trim("sha256"))
     known = F.coalesce(sha != "", F.lit(False))
     content = F.when(known, sha).otherwise(F.concat_ws("/", F.lit("?"), "collection", path))
@@ -138,7 +138,7 @@ def placed(files: DataFrame) -> DataFrame:
         "*",
         directory.alias("_dir"),
         F.xxhash64("collection").alias("_col"),
-        *_both("_d", F.col("collection"), directory),
+        *_both("_d", F.xxhash64("collection"), directory),
         *_both("_l", F.regexp_extract(path, r"([^/]*)$", 1), content),
         *_both("_c", content),
         (known & F.col("collection").isNotNull() & F.coalesce(F.col("length") > 0, F.lit(True))).alias("_tells"),
@@ -146,19 +146,12 @@ def placed(files: DataFrame) -> DataFrame:
 
 
 def own_directories(files: DataFrame) -> DataFrame:
-    """(collection, dir, d1, d2, o1, o2, own_files, telling) of the directories that hold files; a file listed twice counts once."""
-    leaves = placed(files.where("collection is not null and path is not null")).groupBy("collection", "_d1", "_d2", "_l1", "_l2")
+    """(_col, dir, o1, o2, own_files, telling) of the directories that hold files; a file listed twice counts once."""
+    leaves = placed(files.where("collection is not null and path is not null")).groupBy("_col", F.col("_dir").alias("dir"), "_l1", "_l2")
     return (
-        leaves.agg(F.first("_dir").alias("dir"), F.max("_tells").alias("_tells"))
-        .groupBy("collection", "_d1", "_d2")
-        .agg(
-            F.first("dir").alias("dir"),
-            F.bit_xor("_l1").alias("o1"),
-            F.bit_xor("_l2").alias("o2"),
-            F.count(F.lit(1)).alias("own_files"),
-            F.count_if("_tells").alias("telling"),
-        )
-        .withColumnsRenamed({"_d1": "d1", "_d2": "d2"})
+        leaves.agg(F.max("_tells").alias("_tells"))
+        .groupBy("_col", "dir")
+        .agg(F.bit_xor("_l1").alias("o1"), F.bit_xor("_l2").alias("o2"), F.count(F.lit(1)).alias("own_files"), F.count_if("_tells").alias("telling"))
     )
 
 
@@ -177,15 +170,15 @@ def _upwards(own: DataFrame) -> DataFrame:
                 ),
             )
         ).alias("_u"),
-    ).select("*", *_both("a", F.col("collection"), F.col("_u.above")), (F.col("_u.above") == "").alias("root"))
+    ).select("*", *_both("a", F.col("_col"), F.col("_u.above")), (F.col("_u.above") == "").alias("root"))
 
 
 def _trees(own: DataFrame) -> DataFrame:
-    """(collection, a1, a2, root, h1, h2, n_files, telling): key, Merkle hash and size of every directory.
+    """(_col, a1, a2, root, h1, h2, n_files, telling): key, Merkle hash and size of every directory.
 
     The name a directory goes by is no part of its own hash, so ``lib-1.0`` and ``lib`` with equal content are equal.
     """
-    return _upwards(own).groupBy("collection", "a1", "a2", "root").agg(*_sums())
+    return _upwards(own).groupBy("_col", "a1", "a2", "root").agg(*_sums())
 
 
 def _sums() -> list[Column]:
@@ -196,26 +189,25 @@ def _sums() -> list[Column]:
 def merkle_directories(files: DataFrame) -> DataFrame:
     """(collection, dir, h1, h2, n_files): the Merkle hash and size of every directory by its path."""
     up = _upwards(own_directories(files)).withColumn("dir", F.col("_u.above"))
-    return up.groupBy("collection", "dir").agg(*_sums()).drop("telling")
+    names = files.select("collection", F.xxhash64("collection").alias("_col")).where("collection is not null").distinct()
+    return up.groupBy("_col", "dir").agg(*_sums()).join(names, "_col").select("collection", "dir", "h1", "h2", "n_files")
 
 
 def origins(own: DataFrame) -> DataFrame:
-    """(collection, origin) of the collections that are forks or mirrors of another."""
+    """(_col, origin) of the collections that are forks or mirrors of another."""
     place = ["_p", "o1", "o2"]
-    at = own.select("collection", F.xxhash64("dir").alias("_p"), "o1", "o2", "own_files")
-    common = at.groupBy(*place).agg(F.min("collection").alias("origin"), F.max("collection").alias("_m")).where("origin < _m")
-    shared = (
-        at.join(common.drop("_m"), place).where("collection != origin").groupBy("collection", "origin").agg(F.sum("own_files").alias("n"))
-    )
-    most = shared.groupBy("collection").agg(F.max(F.struct("n", "origin")).alias("x"))
-    total = own.groupBy("collection").agg(F.sum("own_files").alias("total"))
-    return most.join(total, "collection").where(F.col("x.n") > FORK_SHARE * F.col("total")).select("collection", "x.origin")
+    at = own.select("_col", F.xxhash64("dir").alias("_p"), "o1", "o2", "own_files")
+    common = at.groupBy(*place).agg(F.min("_col").alias("origin"), F.max("_col").alias("_m")).where("origin < _m").drop("_m")
+    shared = at.join(common, place).where("_col != origin").groupBy("_col", "origin").agg(F.sum("own_files").alias("n"))
+    total = own.groupBy("_col").agg(F.sum("own_files").alias("total"))
+    # more than half can be of one origin only
+    return shared.join(total, "_col").where(F.col("n") > FORK_SHARE * F.col("total")).select("_col", "origin")
 
 
 def _with_origin(df: DataFrame, forks: DataFrame) -> DataFrame:
     """``df`` with ``origin``. ``forks`` is materialised, so that counting it costs nothing."""
     few = forks.count() <= BROADCAST_FORKS
-    return df.join(F.broadcast(forks) if few else forks, "collection", "left").withColumn("origin", F.coalesce("origin", "collection"))
+    return df.join(F.broadcast(forks) if few else forks, "_col", "left").withColumn("origin", F.coalesce("origin", "_col"))
 
 
 def _unrelated(df: DataFrame, *key: str) -> DataFrame:
@@ -228,7 +220,7 @@ def shared_subtrees(files: DataFrame) -> DataFrame:
     """(h1, h2, n_collections, n_files): directory contents found in unrelated collections."""
     own = cut(own_directories(files))
     trees = _with_origin(_trees(own).where("telling > 0"), cut(origins(own)))
-    per = trees.groupBy("h1", "h2", "collection").agg(F.max("n_files").alias("n_files"), F.max("origin").alias("origin"))
+    per = trees.groupBy("h1", "h2", "_col").agg(F.max("n_files").alias("n_files"), F.max("origin").alias("origin"))
     held = per.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n_collections"), F.max("n_files").alias("n_files"), (F.min("origin") < F.max("origin")).alias("_apart")
     )
@@ -241,13 +233,14 @@ def vendored_places(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = cut(own_directories(files))
     forks = cut(origins(own))
     trees = cut(_with_origin(_trees(own).where("telling > 0"), forks))
-    hung = trees.join(_unrelated(trees, "h1", "h2"), ["h1", "h2"])
-    homes = hung.where("root and inside").select("collection").distinct()
+    hung = cut(trees.join(_unrelated(trees, "h1", "h2"), ["h1", "h2"]).select("_col", "a1", "a2", "root", "inside"))
+    homes = hung.where("root and inside").select("_col").distinct()
     roots = hung.where("not root").select("a1", "a2")
-    under = _upwards(own).join(roots, ["a1", "a2"], "left_semi").select("d1", "d2", F.lit(False).alias("home"))
-    at_home = own.join(homes, "collection", "left_semi").select("d1", "d2", F.lit(True).alias("home"))
-    marked = under.unionByName(at_home).groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).agg(F.max("home").alias("home"))
-    alone = placed(files).where("_tells").select("collection", "_c1", "_c2", F.lit(False).alias("root"))
+    d = _both("_d", F.col("_col"), F.col("dir"))
+    under = _upwards(own).join(roots, ["a1", "a2"], "left_semi").select(*d, F.lit(False).alias("home"))
+    at_home = own.join(homes, "_col", "left_semi").select(*d, F.lit(True).alias("home"))
+    marked = under.unionByName(at_home).groupBy("_d1", "_d2").agg(F.max("home").alias("home"))
+    alone = placed(files).where("_tells").select("_col", "_c1", "_c2", F.lit(False).alias("root"))
     return marked, _unrelated(_with_origin(alone, forks), "_c1", "_c2").drop("inside")
 
 
