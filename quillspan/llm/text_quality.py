@@ -60,6 +60,10 @@ _NAV = r"^[ \t]*[^\s>|»\n][^>|»\n]{0,24} [>|»] [^>|»\n]{1,24}[^\n]*$"
 STOP_WORDS = "the be to of and that have with".split()
 
 
+#: Reasons of exclusion that speak of a line without words.
+WORDLESS = r"\(numbers/punctuation\)|^no syllables|^page number"
+
+
 def _n(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
@@ -144,7 +148,11 @@ def text_statistics(documents: DataFrame) -> DataFrame:
 
 
 def line_statistics(line_analyses: DataFrame) -> DataFrame:
-    """(doc_id, analysed_lines, mean_letter_ratio, low_letter_lines, mean_words, excluded_lines) of the latest runs."""
+    """(doc_id, analysed_lines, mean_letter_ratio, low_letter_lines, mean_words, excluded_lines, wordless_lines) of the latest runs.
+
+    ``wordless_lines`` were excluded for holding figures and marks instead of words; others are excluded for being prose.
+    """
+    wordless = F.exists(F.coalesce("excluded", F.array()), lambda r: r.rlike(WORDLESS))
     latest = line_analyses.groupBy("doc_id", "line_no").agg(
         F.max(
             F.struct(
@@ -152,6 +160,7 @@ def line_statistics(line_analyses: DataFrame) -> DataFrame:
                 "letter_ratio",
                 "word_count",
                 F.size(F.coalesce("excluded", F.array())).alias("reasons"),
+                F.coalesce(wordless, F.lit(False)).alias("wordless"),
             )
         ).alias("x")
     )
@@ -161,6 +170,7 @@ def line_statistics(line_analyses: DataFrame) -> DataFrame:
         F.count_if(F.col("x.letter_ratio") < 0.6).alias("low_letter_lines"),
         F.avg("x.word_count").alias("mean_words"),
         F.count_if(F.col("x.reasons") > 0).alias("excluded_lines"),
+        F.count_if("x.wordless").alias("wordless_lines"),
     )
 
 
@@ -191,7 +201,7 @@ def published() -> dict[str, Column]:
         "fineweb: at least 0.67 of lines under 30 characters": _share("n_short_lines", "n_lines") >= 0.67,
         "lines: letter ratio under 0.8": analysed & (F.col("mean_letter_ratio") < 0.8),
         "lines: fewer than 5 words a line": analysed & (F.col("mean_words") < 5),
-        "lines: over 0.9 excluded": analysed & (F.col("excluded_lines") > 0.9 * F.col("analysed_lines")),
+        "lines: over 0.2 excluded as wordless": analysed & (F.col("wordless_lines") > 0.2 * F.col("analysed_lines")),
     }
 
 

@@ -95,9 +95,9 @@ def test_published_rules_have_their_reasons(spark):
     texts = [prose, "\n".join(f"- {w} and so" for w in words * 8), " ".join("internationalisation" for _ in range(60)), prose.replace(".", " ..."), "cold\n" * 60]
     docs = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], DOCS)
     t = dt.datetime(2024, 1, 1)
-    analysed = lines(spark, [(0, 1, 0.5, 2, ["x"], t, "")])
+    analysed = lines(spark, [(0, 1, 0.5, 2, ["letters 50% (numbers/punctuation)", None], t, "")])
     got = {r.doc_id: set(r.failures) for r in tq.judged(tq.statistics(docs, analysed)).collect()}
-    assert got[0] == {"lines: letter ratio under 0.8", "lines: fewer than 5 words a line", "lines: over 0.9 excluded"}
+    assert got[0] == {"lines: letter ratio under 0.8", "lines: fewer than 5 words a line", "lines: over 0.2 excluded as wordless"}
     assert "gopher: bullets on over 0.9 of lines" in got[1] and "fineweb: punctuation ends at most 0.12 of lines" in got[1]
     assert {"gopher: mean word length not within 3 and 10", "gopher: fewer than 2 stop words"} <= got[2]
     assert "gopher: ellipses end over 0.3 of lines" in got[3]
