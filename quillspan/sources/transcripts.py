@@ -31,96 +31,124 @@ def _box(p: dict) -> dict | None:
         return None
 
 
-class _Marked(HTMLParser):
-    """Collects lines. The open elements are a stack of (tag, level): an end tag closes everything down to its match, so
-    sloppy nesting does no harm; closing a level forgets what is open at it and below."""
-
-    LEVELS = {"page": 0, "area": 1, "par": 2, "line": 3, "word": 4}
+class _Events(HTMLParser):
+    """Flat list of (tag, attributes) of what opens, (tag, None) of what closes and (None, text)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[dict] = []
-        self.pages = self.made = 0
-        self.stack: list[tuple[str, str | None]] = []
-        self.par: str | None = None
-        self.line: dict | None = None
-        self.word: dict | None = None
-
-    def name(self, given: str | None, kind: str) -> str:
-        if given:
-            return given
-        self.made += 1
-        return f"{kind}_{self.made}"
-
-    def open_line(self, ident: str | None, kind: str, box) -> None:
-        if not self.pages:
-            self.pages = 1
-        if self.par is None:
-            self.par = self.name(None, "par")
-        self.line = {"page_no": self.pages, "par_id": self.par, "line_id": self.name(ident, "line"), "kind": kind, "bbox": box, "text": "", "words": []}
-        self.lines.append(self.line)
+        self.seen: list[tuple[str | None, dict | str | None]] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in VOID:
-            return
-        a = dict(attrs)
-        kinds = (a.get("class") or "").split()
-        p = _properties(a.get("title"))
-        level = None
-        if "ocr_page" in kinds:
-            self.pages, self.par, self.line, level = self.pages + 1, None, None, "page"
-        elif any(k in AREAS for k in kinds):
-            self.par, self.line, level = None, None, "area"
-        elif "ocr_par" in kinds:
-            self.par, self.line, level = self.name(a.get("id"), "par"), None, "par"
-        elif kind := next((k for k in kinds if k in LINES), None):
-            self.open_line(a.get("id"), kind, _box(p))
-            level = "line"
-        elif "ocrx_word" in kinds:
-            if self.line is None:
-                self.open_line(None, "ocr_line", None)
-            try:
-                conf = float(p["x_wconf"][0])
-            except (KeyError, IndexError, ValueError):
-                conf = None
-            self.word = {"id": self.name(a.get("id"), "word"), "text": "", "bbox": _box(p), "conf": conf}
-            self.line["words"].append(self.word)
-            level = "word"
-        self.stack.append((tag, level))
+        if tag not in VOID:
+            self.seen.append((tag, dict(attrs)))
+
+    def handle_endtag(self, tag):
+        if tag not in VOID:
+            self.seen.append((tag, None))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         self.handle_endtag(tag)
 
-    def handle_endtag(self, tag):
-        if tag in VOID:
-            return
-        while self.stack:
-            name, level = self.stack.pop()
-            at = self.LEVELS.get(level, 9)
-            if at <= 4:
-                self.word = None
-            if at <= 3:
-                self.line = None
-            if at <= 2:
-                self.par = None
-            if name == tag:
-                break
-
     def handle_data(self, data):
-        if self.word is not None:
-            self.word["text"] += data
-        elif self.line is not None and data.strip():
-            self.line["text"] = f"{self.line['text']} {data.strip()}".strip()
+        self.seen.append((None, data))
+
+
+def _ends(events: list) -> dict[int, int]:
+    """Where each element that opens is over: at the end tag of its name, or of one around it, or at one that matches nothing."""
+    end: dict[int, int] = {}
+    alive: list[int] = []
+    for j, (tag, what) in enumerate(events):
+        if tag is None:
+            continue
+        if what is not None:
+            alive.append(j)
+            continue
+        match = max((k for k, i in enumerate(alive) if events[i][0] == tag), default=0)
+        end |= dict.fromkeys(alive[match:], j)
+        del alive[match:]
+    return end
+
+
+#: What an element is, outermost first.
+_LEVELS = ["page", "area", "par", "line", "word"]
+
+
+def _level(kinds: list[str]) -> tuple[str | None, str | None]:
+    """(level, class) of an element by its classes; the outermost counts."""
+    named = {"ocr_page": "page", "ocr_par": "par", "ocrx_word": "word"} | dict.fromkeys(AREAS, "area") | dict.fromkeys(LINES, "line")
+    found = [(_LEVELS.index(named[k]), k) for k in kinds if k in named]
+    return (_LEVELS[min(found)[0]], min(found, key=lambda f: f[0])[1]) if found else (None, None)
+
+
+def _number(p: dict, name: str) -> float | None:
+    try:
+        return float(p[name][0])
+    except (KeyError, IndexError, ValueError):
+        return None
 
 
 def _lines(markup: str | None) -> list[dict] | None:
     if markup is None:
         return None
-    p = _Marked()
-    p.feed(markup)
-    p.close()
-    return p.lines
+    parser = _Events()
+    parser.feed(markup)
+    parser.close()
+    events = parser.seen
+    end, never = _ends(events), len(events)
+    lines: list[dict] = []
+    within: dict[str, tuple[int, object]] = {}  # by level what was opened last, and until where it holds
+    pages = made = 0
+
+    def holds(level: str, j: int):
+        until, what = within.get(level, (-1, None))
+        return what if j < until else None
+
+    def enter(level: str, j: int, what: object, until: int | None = None) -> object:
+        """``what`` holds from here on until its element ends; one that the markup leaves out, as long as what is around it."""
+        depth = _LEVELS.index(level)
+        around = [within[x][0] for x in _LEVELS[:depth] if holds(x, j) is not None]
+        for deeper in _LEVELS[depth:]:
+            within.pop(deeper, None)
+        within[level] = (min(around, default=never) if until is None else until, what)
+        return what
+
+    def name(given: str | None, level: str) -> str:
+        nonlocal made
+        made += not given
+        return given or f"{level}_{made}"
+
+    def line(j: int, ident: str | None, kind: str, box: dict | None, until: int | None = None) -> None:
+        nonlocal pages
+        pages = pages or 1
+        par = holds("par", j) or enter("par", j, name(None, "par"))
+        own = {"page_no": pages, "par_id": par, "line_id": name(ident, "line"), "kind": kind, "bbox": box, "text": "", "words": []}
+        lines.append(enter("line", j, own, until))
+
+    for j, (tag, what) in enumerate(events):
+        if tag is None:
+            if (word := holds("word", j)) is not None:
+                word["text"] += what
+            elif (own := holds("line", j)) is not None and what.strip():
+                own["text"] = f"{own['text']} {what.strip()}".strip()
+        elif what is not None:
+            level, kind = _level((what.get("class") or "").split())
+            p, until = _properties(what.get("title")), end.get(j, never)
+            if level == "page":
+                pages += 1
+                enter("page", j, pages, until)
+            elif level == "area":
+                enter("area", j, j, until)
+            elif level == "par":
+                enter("par", j, name(what.get("id"), "par"), until)
+            elif level == "line":
+                line(j, what.get("id"), kind, _box(p), until)
+            elif level == "word":
+                if holds("line", j) is None:
+                    line(j, None, "ocr_line", None)
+                word = {"id": name(what.get("id"), "word"), "text": "", "bbox": _box(p), "conf": _number(p, "x_wconf")}
+                holds("line", j)["words"].append(enter("word", j, word, until))
+    return lines
 
 
 def marked_lines(markup: str) -> Column:

@@ -12,30 +12,42 @@ from quillspan.sources import transcripts as ts
 
 PAGE = """<html><head><meta name='ocr-system' content='x'></head><body><div class='ocr_page' title='bbox 0 0 1000 1400'>
 <div class='ocr_carea' id='b1'><p class='ocr_par' id='p1'>
-<span class='ocr_line' id='l1' title='bbox 200 100 600 140'><span class='ocrx_word' title='bbox 200 100 300 140; x_wconf 80'>Tuesday,</span>
-<span class='ocrx_word' title='bbox 310 100 350 140; x_wconf 90'>14</span> <span class='ocrx_word'>March</span></span></p>
-<p class='ocr_par' id='p2'><span class='ocr_line' id='l2' title='bbox 200 300 600 340'><span class='ocrx_word' title='x_wconf 90.2'>Rain</span>
-<span class='ocrx_word' title='x_wconf oops'>on &amp; on</span></span>
+<span class='ocr_line' id='l1' title='bbox 200 100 600 140'><span class='ocrx_word' title='bbox 200 100 300 140; x_wconf 80'>Monday,</span>
+<span class='ocrx_word' title='bbox 310 100 350 140; x_wconf 90'>3</span> <span class='ocrx_word'>June</span></span></p>
+<p class='ocr_par' id='p2'><span class='ocr_line' id='l2' title='bbox 200 300 600 340'><span class='ocrx_word' title='x_wconf 90.2'>Frost</span>
+<span class='ocrx_word' title='x_wconf oops'>thaw &amp; thaw</span></span>
 <span class='ocr_line' id='blank'><span class='ocrx_word'> </span></span>
 <span class='ocr_header' id='l3'>no words <b>here</b></span></p></div></div>
 <div class='ocr_page'><span class='ocrx_word'>loose</span></div></body>"""
 
 ALTO = """<?xml version="1.0"?><alto xmlns="http://www.loc.gov/standards/alto/ns-v3#"><Layout><Page WIDTH="1000" HEIGHT="1400"><PrintSpace>
-<TextBlock ID="tb"><TextLine ID="a" HPOS="100" VPOS="100" WIDTH="400" HEIGHT="40"><String CONTENT="Rain" WC="0.9" HPOS="100" VPOS="100" WIDTH="90" HEIGHT="40"/>
-<SP/><String CONTENT="on" WC="0.81"/></TextLine><TextLine><String CONTENT="the"/><String CONTENT="harbour"/></TextLine></TextBlock></PrintSpace></Page></Layout></alto>"""
+<TextBlock ID="tb"><TextLine ID="a" HPOS="100" VPOS="100" WIDTH="400" HEIGHT="40"><String CONTENT="Snow" WC="0.9" HPOS="100" VPOS="100" WIDTH="90" HEIGHT="40"/>
+<SP/><String CONTENT="by" WC="0.81"/></TextLine><TextLine><String CONTENT="a"/><String CONTENT="quay"/></TextLine></TextBlock></PrintSpace></Page></Layout></alto>"""
 
 
 def test_marked_pages(spark):
     got = ts.parsed_marked(spark.createDataFrame([(1, PAGE), (2, ""), (3, None)], "k int, m string"), "k", "m").orderBy("page_no", "n").collect()
     assert [(r.page_no, r.n, r.par_id, r.par_pos, r.par_size, r.text) for r in got] == [
-        (1, 1, "p1", 0, 1, "Tuesday, 14 March"), (1, 2, "p2", 0, 2, "Rain on & on"), (1, 3, "p2", 1, 2, "no words here"), (2, 1, got[3].par_id, 0, 1, "loose")]
+        (1, 1, "p1", 0, 1, "Monday, 3 June"), (1, 2, "p2", 0, 2, "Frost thaw & thaw"), (1, 3, "p2", 1, 2, "no words here"), (2, 1, got[3].par_id, 0, 1, "loose")]
     assert (got[0].conf, got[1].conf, got[2].conf, got[2].kind) == (85.0, 90.2, None, "ocr_header")
     assert tuple(got[0].bbox) == (200, 100, 600, 140) and got[3].bbox is None
 
 
+def test_sloppy_markup():
+    """End tags left out, crossed, doubled or without start; words outside lines; text between words."""
+    word = lambda t: f"<span class='ocrx_word'>{t}</span>"
+    crossed = f"<div class=ocr_page><p class=ocr_par id=a><span class=ocr_line id=x>{word('one')}<b>{word('two')}</p>{word('three')}</b></div>{word('four')}"
+    got = ts._lines(crossed)
+    assert [([w["text"] for w in x["words"]], x["par_id"], x["page_no"]) for x in got][:2] == [(["one", "two"], "a", 1), (["three"], got[1]["par_id"], 1)]
+    assert [w["text"] for w in got[-1]["words"]] == ["four"] and got[-1]["page_no"] == 1 and len({x["par_id"] for x in got}) == 3
+    assert [x["text"] for x in ts._lines("<p class=ocr_par><span class=ocr_line>a<br>b <i>c</i></span></i></p><span class=ocr_line>d")] == ["a b c", "d"]
+    assert [[w["text"] for w in x["words"]] for x in ts._lines("<span class=ocr_line><span class=ocrx_word>a<span class=ocrx_word>b</span>")] == [["a", "b"]]
+    assert ts._lines("") == [] == ts._lines("</p></div>just text") and ts._lines(None) is None
+
+
 def test_alto(spark):
     got = ts.parsed_alto(spark.createDataFrame([(1, ALTO)], "k int, m string"), "k", "m").orderBy("n").collect()
-    assert [(r.text, r.par_id, r.par_size, r.conf) for r in got] == [("Rain on", "tb_par", 2, 85.5), ("the harbour", "tb_par", 2, None)]
+    assert [(r.text, r.par_id, r.par_size, r.conf) for r in got] == [("Snow by", "tb_par", 2, 85.5), ("a quay", "tb_par", 2, None)]
     assert tuple(got[0].bbox) == (100, 100, 500, 140) and got[1].bbox is None
 
 
