@@ -27,11 +27,6 @@ def _words(docs):
     return each.select(F.lower("word").alias("word")).distinct()
 
 
-def _english(s, d):
-    """The documents that the SQL of ``vowel_groups`` reads."""
-    return _docs(s, d).where("lower(trim(lang)) in ('en', 'eng')")
-
-
 def _numbers(s, d):
     r = sy.of_number(F.col("o_orderkey").cast("string"))
     return table(s, d, "orders").select("o_orderkey", r["lo"].alias("lo"), r["hi"].alias("hi"))
@@ -78,7 +73,7 @@ QUERIES = {
     "rot13": lambda s, d: table(s, d, "notebooks").select("notebook_id", tx.rotated(F.col("title"), 13).alias("rot13"), tx.rotated(F.col("title"), 3).alias("caesar3")),
     "sniffed_formats": lambda s, d: table(s, d, "files").select("file_id", tx.sniffed_format(F.col("path"), F.col("head")).alias("format")),
     "number_syllables": _numbers,
-    "vowel_groups": lambda s, d: _words(_english(s, d)).select("word", sy.vowel_groups(F.col("word")).cast("long").alias("groups")),
+    "vowel_groups": lambda s, d: _words(_docs(s, d)).select("word", sy.vowel_groups(F.col("word")).cast("long").alias("groups")),
     "word_syllables": lambda s, d: sy.word_syllables(_words(_docs(s, d))),
     "base64_fixity": _intact,
     "fenced_json": _reply,
@@ -151,7 +146,7 @@ select o_orderkey, cast(case when n < 2000 then yr when n < 2010 then lg else le
  cast(case when n < 2000 then yr when n < 2010 then lg else greatest(yr, lg) end as int) hi from v
 union all select o_orderkey, cast(c as int), cast(c as int) from x""",
     "vowel_groups": f"""
-with w as (select distinct lower(t) word from (select unnest({_TOK.format('"text"')}) t from documents where lower(trim(lang)) in ('en', 'eng')))
+with w as (select distinct lower(t) word from (select unnest({_TOK.format('"text"')}) t from documents))
 select word, len(regexp_extract_all(regexp_replace(regexp_replace(word, 'y([aeiou])', '#\\1', 'g'), 'y#', 'y#', 'g'), '[aeiouy]+')) groups from w""",
     "base64_fixity": """select doc_id, cast(length(base64(encode("text"))) + (length(base64(encode("text"))) - 1) // 76 as int) encoded_length,
  true intact from documents""",
