@@ -238,7 +238,6 @@ class Lexicon:
 
     packed: tuple[bytes, bytes]
     memo: dict = field(default_factory=dict)
-    sound: set = field(default_factory=set)
 
     def __post_init__(self) -> None:
         words, parts = (np.frombuffer(zlib.decompress(p), dtype=np.uint32) for p in self.packed)
@@ -290,10 +289,7 @@ class Lexicon:
         out = self._judge(token)
         if len(self.memo) > 400_000:  # a memory only; judgements do not depend on it
             self.memo.clear()
-            self.sound.clear()
         self.memo[token] = out
-        if out is None:
-            self.sound.add(token)
         return out
 
     def _judge(self, token: str) -> str | None:
@@ -629,9 +625,10 @@ def _mend(lex: Lexicon, line: str, up, down, following: str | None) -> tuple[boo
         else:  # the line's only word has moved itself
             fixed = moved
         tokens = tokens[:-1]
-    for t in [t for t in (_bare(x) for x in tokens) if t and t not in lex.sound]:
-        v = lex.judge(t)
-        if v is not None:
+    for x in tokens:
+        if lex.raw[x]:
+            t = _bare(x)
+            v = lex.judge(t)
             misread = True
             shown = v if t.islower() or not t[:1].isalpha() else v[:1].upper() + v[1:] if not t.isupper() else v.upper()
             fixed = fixed.replace(t, shown, 1)
@@ -850,34 +847,35 @@ def pieces(f: pd.DataFrame) -> pd.DataFrame:
 
     Lines at a border stay by themselves, as their text may change. ``hard``: begins a paragraph, whatever stands before.
     """
-    out: list[dict] = []
+    names = [c.split()[0] for c in f"{_PIECE}, {_PLACE}, {_EDGE}".split(", ")]
     f = f[(f["label"] >= BREAK) & ((f["mended"].str.strip() != "") | f["text"].notna())]
-    for _, own in f.groupby("seg", sort=False):
-        rows: list[dict] = []
-        inner: list[dict] = []
-        for r in own.itertuples(index=False):
-            line = r.text is not None
-            mended = r.mended.strip()
-            if not line and inner and _runs_on(r.label, r.page_no, inner[-1]["last_page"], inner[-1]["mended"]):
-                inner[-1]["n_lines"] += 1
-                inner[-1]["mended"] += " " + mended
-                inner[-1]["last_page"] = r.page_no
-                continue
-            rows.append(
-                {
-                    "packet_id": r.packet_id, "first_page": r.page_no, "first_n": r.n, "n_lines": 1, "mended": mended, "label": r.label,
-                    "last_page": r.page_no, "edge": line, "hard": bool(inner) and not line, "seg_page": r.seg_page, "slice": r.slice,
-                    "at_first": r.at_first, "at_last": r.at_last, "inner": r.inner, "text": r.text, "before": r.before, "after": r.after,
-                    "hyphen": r.hyphen, "misread": r.misread,
-                }
-            )
-            if not line:
-                inner.append(rows[-1])
-        if inner:
-            inner[0]["edge"] |= bool(own["opens"].iloc[0])
-            inner[-1]["edge"] = True
-        out += rows
-    return pd.DataFrame(out, columns=[c.split()[0] for c in f"{_PIECE}, {_PLACE}, {_EDGE}".split(", ")])
+    seg, border = f["seg"].to_numpy(), f["text"].notna().to_numpy()
+    label, page, mended = f["label"].tolist(), f["page_no"].tolist(), f["mended"].str.strip().tolist()
+    first: list[int] = []  # the line that a piece begins with, and what the piece holds
+    held: list[list[str]] = []
+    last: list[int] = []
+    hard: list[bool] = []
+    edge: list[bool] = []
+    opens = f["opens"].to_numpy()
+    inner = None  # the piece of the segment's lines away from borders that is being put together
+    for i in range(len(f)):
+        if i == 0 or seg[i] != seg[i - 1]:
+            if inner is not None:
+                edge[inner] = True
+            inner = None
+        if border[i]:
+            first.append(i), held.append([mended[i]]), last.append(page[i]), hard.append(False), edge.append(True)
+        elif inner is not None and _runs_on(label[i], page[i], last[inner], held[inner][-1]):
+            held[inner].append(mended[i])
+            last[inner] = page[i]
+        else:
+            first.append(i), held.append([mended[i]]), last.append(page[i]), hard.append(inner is not None)
+            edge.append(inner is None and bool(opens[i]))
+            inner = len(first) - 1
+    if inner is not None:
+        edge[inner] = True
+    out = f.iloc[first].rename(columns={"page_no": "first_page", "n": "first_n"})
+    return out.assign(n_lines=[len(h) for h in held], mended=[" ".join(h) for h in held], last_page=last, edge=edge, hard=hard)[names]
 
 
 _PLACE = "seg_page int, slice int, hyphen boolean, misread boolean"
