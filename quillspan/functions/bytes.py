@@ -18,11 +18,8 @@ END_MARK = 0x24
 
 def octets(data: Column) -> Column:
     """The bytes as array<int>."""
-    h = F.hex(data)
-    return F.when(
-        F.length(data) > 0,
-        F.transform(F.sequence(F.lit(0), F.length(data) - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")),
-    ).otherwise(F.array().cast("array<int>"))
+    figures = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
+    return F.transform(figures, lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 def from_octets(values: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspan.functions import bytes as by
+from quillspan.functions import ciphers as cp
 from quillspan.functions import text as tx
 
 RECIPES: dict[str, Callable[..., Column]] = {}
@@ -34,6 +35,13 @@ recipe("hex")(lambda c: F.lower(F.hex(F.encode(c, "UTF-8"))))
 recipe("crc16")(lambda c: by.crc16(F.encode(c, "UTF-8")).cast("string"))
 recipe("sha256")(lambda c: F.sha2(c, 256))
 recipe("slug")(lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"))
+for _name in ("vigenere", "beaufort", "variant_beaufort", "gronsfeld", "autokey", "affine", "keyed_caesar", "rot47", "a1z26", "from_a1z26",
+              "baconian", "polybius", "pig_latin", "rail_fence", "columnar", "double_transposition", "rotated_by"):
+    recipe(_name)(getattr(cp, _name))
+for _name in ("base85", "base32", "as_integer"):
+    recipe(_name)(lambda c, f=getattr(cp, _name): f(F.encode(c, "UTF-8")))
+recipe("base58")(lambda c: cp.based(F.encode(c, "UTF-8")))
+recipe("base62")(lambda c: cp.based(F.encode(c, "UTF-8"), cp.BASE62))
 
 
 def cooked(c: Column, steps: list[tuple]) -> Column:
