@@ -6,6 +6,7 @@ from quillspan.functions import bytes as by
 from quillspan.functions import numbers as nm
 from quillspan.functions import syllables as sy
 from quillspan.functions import text as tx
+from quillspan.plans.syllable_sql import SPOKEN
 from quillspan.session import table
 
 
@@ -148,6 +149,8 @@ union all select o_orderkey, cast(c as int), cast(c as int) from x""",
     "vowel_groups": f"""
 with w as (select distinct lower(t) word from (select unnest({_TOK.format('"text"')}) t from documents))
 select word, len(regexp_extract_all(regexp_replace(regexp_replace(word, 'y([aeiou])', '#\\1', 'g'), 'y#', 'y#', 'g'), '[aeiouy]+')) groups from w""",
+    "word_syllables": f"""with words as (select distinct lower(t) word from (select unnest({_TOK.format('"text"')}) t from documents)), {SPOKEN}
+select word, lo, hi from spoken""",
     "base64_fixity": """select doc_id, cast(length(base64(encode("text"))) + (length(base64(encode("text"))) - 1) // 76 as int) encoded_length,
  true intact from documents""",
     "fenced_json": "select event_id, event_id id from events",
