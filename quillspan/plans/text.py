@@ -7,6 +7,7 @@ from quillspan.functions import numbers as nm
 from quillspan.functions import syllables as sy
 from quillspan.functions import text as tx
 from quillspan.plans.syllable_sql import SPOKEN
+from quillspan.plans.text_sql import DATES, STRIP, TOKENS
 from quillspan.session import table
 
 
@@ -86,21 +87,6 @@ QUERIES = {
 }
 
 _LINES = "with lines as (select distinct packet_id, page_no, n, \"text\", conf, kind, par_size from packet_lines)"
-_TOK = "list_filter(list_transform(regexp_extract_all(replace(replace({0}, '—', ' '), '–', ' '), '[A-Za-z0-9À-ɏ''’‘-]+'), lambda t: trim(t, '''-’‘')), lambda t: t <> '')"
-_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\\.?"
-_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-_DATE = " or ".join(
-    f"regexp_matches(t, '{p}')"
-    for p in [
-        r"(?i)^\W*(?:mon|tues|tue|wednes|wed|thurs|thu|fri|satur|sat|sun)(?:day)?\b",
-        rf"(?i)\b{_MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?\b",
-        rf"(?i)\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?{_MONTH}\b",
-        rf"(?i)\b{_MONTH}\s+(?:19|20)\d{{2}}\b",
-        r"\b\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}\b",
-        r"\b(?:19|20)\d{2}[/.\-]\d{1,2}[/.\-]\d{1,2}\b",
-        r"^\W*(?:19|20)\d{2}\W*$",
-    ]
-)
 _TWO = """(case when {0} < 20 then list_extract([2,1,1,1,1,1,1,2,1,1,1,3,1,2,2,2,2,3,2,2], cast({0} as int) + 1)
  else list_extract([0,0,2,2,2,2,2,3,2,2], cast({0} // 10 as int) + 1) + case when {0} % 10 > 0 then
  list_extract([2,1,1,1,1,1,1,2,1,1], cast({0} % 10 as int) + 1) else 0 end end)"""
@@ -108,13 +94,12 @@ _TWO = """(case when {0} < 20 then list_extract([2,1,1,1,1,1,1,2,1,1,1,3,1,2,2,2
 ORACLE = {
     "clean_text": r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce("text", ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'),
  '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') clean from documents""",
-    "tokens_per_doc": f"""select doc_id, cast(len({_TOK.format('"text"')}) as int) n_tokens,
- array_to_string(list_slice({_TOK.format('"text"')}, 1, 5), '|') first_tokens from documents""",
+    "tokens_per_doc": f"""select doc_id, cast(len({TOKENS.format('"text"')}) as int) n_tokens,
+ array_to_string(list_slice({TOKENS.format('"text"')}, 1, 5), '|') first_tokens from documents""",
     "letter_ratio": r"""select doc_id, cast(length(regexp_replace("text", '[^\p{L}]+', '', 'g')) as int) letters,
  cast(length(regexp_replace("text", '\s+', '', 'g')) as int) ink from documents""",
-    "date_like_lines": f"""{_LINES}, t as (select *, {_STRIP.format('"text"')} t from lines)
-select packet_id, page_no, n, "text" from t where {_DATE}
- or (regexp_matches(t, '(?i)\\b\\d{{1,2}}[:.]\\d{{2}}\\s*(?:am|pm|h)?\\b') and len(string_split_regex(t, '\\s+')) <= 4)""",
+    "date_like_lines": f"""{_LINES}, t as (select *, {STRIP.format('"text"')} t from lines)
+select packet_id, page_no, n, "text" from t where {DATES}""",
     "page_number_lines": _LINES + r""" select packet_id, page_no, n from lines where regexp_matches(coalesce("text", ''), '^\W*\d+\W*$')""",
     "sentence_breaks": r"""select doc_id, len(regexp_extract_all("text", '[.!?]\s+[A-Z]')) breaks from documents""",
     "plain_names": "select distinct engine from engines where regexp_matches(engine, '^[A-Za-z]+$') and length(engine) >= 3",
@@ -147,9 +132,9 @@ select o_orderkey, cast(case when n < 2000 then yr when n < 2010 then lg else le
  cast(case when n < 2000 then yr when n < 2010 then lg else greatest(yr, lg) end as int) hi from v
 union all select o_orderkey, cast(c as int), cast(c as int) from x""",
     "vowel_groups": f"""
-with w as (select distinct lower(t) word from (select unnest({_TOK.format('"text"')}) t from documents))
+with w as (select distinct lower(t) word from (select unnest({TOKENS.format('"text"')}) t from documents))
 select word, len(regexp_extract_all(regexp_replace(regexp_replace(word, 'y([aeiou])', '#\\1', 'g'), 'y#', 'y#', 'g'), '[aeiouy]+')) groups from w""",
-    "word_syllables": f"""with words as (select distinct lower(t) word from (select unnest({_TOK.format('"text"')}) t from documents)), {SPOKEN}
+    "word_syllables": f"""with words as (select distinct lower(t) word from (select unnest({TOKENS.format('"text"')}) t from documents)), {SPOKEN}
 select word, lo, hi from spoken""",
     "base64_fixity": """select doc_id, cast(length(base64(encode("text"))) + (length(base64(encode("text"))) - 1) // 76 as int) encoded_length,
  true intact from documents""",

@@ -8,6 +8,10 @@ from quillspan.operators import nested
 from quillspan.operators import reconcile as rc
 from quillspan.operators import transcript as tr
 from quillspan.operators import verse as vs
+from quillspan.plans import nested as nq
+from quillspan.plans.syllable_sql import SPOKEN
+from quillspan.plans.text_sql import TOKENS
+from quillspan.plans.verse_sql import ANALYSED, CANDIDATES, CHOSEN
 from quillspan.session import cut, table
 
 _PAGE = ["packet_id", "page_no"]
@@ -110,6 +114,25 @@ l as (select * from r where rn = 1)"""
 _TRIM = "lower(trim({0}))"
 
 ORACLE = {
+    "line_exclusions": ANALYSED + " select packet_id, page_no, n, word_count, array_to_string(excluded, '; ') excluded from analysed",
+    "verse_candidates": ANALYSED + CANDIDATES + " select packet_id, page_no, n, deviation, milli, form, validation from cands",
+    "verse_selected": ANALYSED + CANDIDATES + CHOSEN + " select packet_id, page_no, n, milli, accepted, reason from chosen",
+    "verse_stats": ANALYSED + CANDIDATES + CHOSEN + """ select (select count(*) from analysed) "lines", (select count(*) from analysed where len(excluded) = 0) usable_lines,
+ (select count(*) from chosen) candidates, (select count(*) from chosen where accepted) accepted, (select count(*) from chosen where not accepted) rejected""",
+    "verse_totals": ANALYSED + CANDIDATES + CHOSEN + """ select count(*) pages, coalesce(cast(sum(v) as bigint), 0) verses from
+ (select packet_id, page_no, count(*) v from chosen where accepted group by 1, 2)""",
+    "explained_titles": f"""with tok as (select notebook_id, unnest({TOKENS.format('title')}) w, generate_subscripts({TOKENS.format('title')}, 1) i from notebooks),
+words as (select distinct w word from tok), {SPOKEN},
+s as (select *, case when lo = hi then '' || lo else lo || '-' || hi end span from tok join spoken on word = w),
+e as (select notebook_id, string_agg(w || '(' || span || ')', ' ' order by i) t, sum(lo) lo, sum(hi) hi from s group by 1)
+select notebook_id, coalesce(t, '') || ' = ' || case when coalesce(lo, 0) = coalesce(hi, 0) then '' || coalesce(lo, 0) else lo || '-' || hi end explained from notebooks left join e using (notebook_id)""",
+    "junk_edges": f"""with w as ({nq.ORACLE["p2_words"]}),
+m as (select *, trim("text") t0 from w),
+j as (select *, not regexp_matches(t0, '[\\p{{L}}\\p{{N}}]') or (coalesce(conf, 100) < 30 and length(t0) <= 2 and lower(t0) not in ({", ".join(repr(x) for x in tx.SHORT_WORDS)})) junk from m),
+g as (select delivery_id, par_pos, line_pos, list("text" order by word_pos) ts, list(not junk order by word_pos) ok from j group by 1, 2, 3),
+b as (select *, list_position(ok, true) lo, len(ok) + 1 - list_position(list_reverse(ok), true) hi from g)
+select delivery_id, par_pos, line_pos, case when lo > 0 then regexp_replace(regexp_replace(array_to_string(ts[lo:hi], ' '), '[ \t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') end "text",
+ case when lo > 0 then array_to_string(list_concat(ts[1:lo - 1], list_reverse(ts[hi + 1:])), '|') end dropped from b""",
     "line_context": _ONCE + """ select packet_id, page_no, n, cast(row_number() over (partition by packet_id, page_no order by n) as int) line_no,
  cast(row_number() over (partition by packet_id, page_no, par_id order by n) - 1 as int) par_pos,
  count(*) over (partition by packet_id, page_no, par_id) par_count from l""",
