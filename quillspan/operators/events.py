@@ -150,20 +150,30 @@ def stage_delta(start: Column, end: Column) -> Column:
     return F.struct(code.alias("code"), F.when(code == "OK", end - start).alias("delta"))
 
 
+def _starts(rows: DataFrame, scope: str, order: str, size: str) -> DataFrame:
+    """``rows`` + _at: what comes before each in its scope."""
+    whole = running(rows, scope, [order], size)
+    return whole.withColumn("_at", F.coalesce("run_sum", F.lit(0)) - F.coalesce(size, F.lit(0))).drop("run_n", "run_sum", "run_avg")
+
+
 def record_owner(records: DataFrame, files: DataFrame, scope: str) -> DataFrame:
     """Records of a stream assigned to the files whose byte budgets they fill, in order.
 
-    ``records``: scope, pos, size; ``files``: scope, file_no, budget. Running sums on both sides; a record belongs to the
-    file whose range holds its first byte. The ranges are joined by a union and a forward fill, not by inequality.
+    ``records``: scope, pos, size; ``files``: scope, file_no, budget. Running sums on both sides, in two levels; a record
+    belongs to the file whose range holds its first byte. The ranges are joined by a union and a forward fill over blocks of
+    positions, handed on from block to block, so that a scope with a third of all records is no single task.
     """
-    at = Window.partitionBy(scope)
-    starts = records.withColumn("_at", F.sum("size").over(at.orderBy("pos")) - F.col("size"))
-    opens = files.withColumn("_at", F.sum("budget").over(at.orderBy("file_no")) - F.col("budget"))
-    both = opens.select(scope, "_at", F.lit(0).alias("_k"), F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("size"), "file_no").unionByName(
-        starts.select(scope, "_at", F.lit(1).alias("_k"), F.col("pos").cast("bigint"), F.col("size").cast("bigint"), F.lit(None).cast("int").alias("file_no"))
+    starts, opens = _starts(records, scope, "pos", "size"), _starts(files, scope, "file_no", "budget")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = opens.select(scope, "_at", F.lit(0).alias("_k"), none("bigint").alias("pos"), none("bigint").alias("size"), F.col("file_no").cast("int").alias("file_no")).unionByName(
+        starts.select(scope, "_at", F.lit(1).alias("_k"), F.col("pos").cast("bigint"), F.col("size").cast("bigint"), none("int").alias("file_no"))
     )
-    filled = F.last("file_no", True).over(at.orderBy("_at", "_k", "pos").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("owner", filled).where("_k = 1").select(scope, "pos", "size", F.col("owner").alias("file_no"))
+    b = blocked(both, "_at")
+    # file numbers ascend with the ranges, so the last one so far is the greatest
+    before = _handed_on(b, scope, _open=(F.max("file_no"), F.max))
+    within = F.max("file_no").over(Window.partitionBy(scope, "_blk").orderBy("_at", "_k", "pos").rowsBetween(Window.unboundedPreceding, 0))
+    out = b.join(before, [scope, "_blk"], "left").withColumn("owner", F.coalesce(within, F.col("_open"))).where("_k = 1")
+    return out.select(scope, "pos", "size", F.col("owner").alias("file_no"))
 
 
 def latest_serial(events: DataFrame, key: str, serial: str) -> DataFrame:

@@ -21,11 +21,12 @@ def _files(s, d):
 
 
 def _twin_sides(s, d, twin):
-    docs = _docs(s, d).where("source is not null")
-    journal, rest = docs.where("source = 'journal'"), docs.where("source != 'journal'")
+    """Files of the largest collection whose content others hold too, and those of which none does."""
+    own = _files(s, d).select("file_id", "collection", "sha256", "length")
+    first, rest = own.where("collection = 'room-0001'"), own.where("collection != 'room-0001'")
     if twin:
-        return cg.twins(journal, rest, payload="doc_id").select("doc_id", "sha256", "held_as")
-    return cg.without_twin(journal, rest).select("doc_id", "sha256")
+        return cg.twins(first, rest, payload="file_id", size="length").select("file_id", "sha256", "held_as")
+    return cg.without_twin(first, rest, size="length").select("file_id", "sha256")
 
 
 def _drift(s, d):
@@ -113,11 +114,10 @@ select cast(sum(n) as bigint) entries, cast(sum(b) as bigint) bytes, count(*) di
  '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) title from files)
 select count(*) entries, count(*) filter (title <> '') titled, count(*) filter (title = '') untitled,
  count(*) filter (length = 0) empty_files from t""",
-    "twin_semi": _DOCS + """, held as (select sha256, min(doc_id) held_as from docs where source <> 'journal' and bytes > 0 group by 1)
-select doc_id, sha256, held_as from docs join held using (sha256) where source = 'journal'""",
-    "twin_anti": _DOCS + """
-select doc_id, sha256 from docs where source = 'journal' and sha256 not in
- (select sha256 from docs where source <> 'journal' and bytes > 0 and sha256 is not null)""",
+    "twin_semi": """with held as (select sha256, min(file_id) held_as from files where collection <> 'room-0001' and length > 0 group by 1)
+select file_id, sha256, held_as from files join held using (sha256) where collection = 'room-0001'""",
+    "twin_anti": """select file_id, sha256 from files where collection = 'room-0001' and sha256 not in
+ (select sha256 from files where collection <> 'room-0001' and length > 0 and sha256 is not null)""",
     "drift_listings": """
 with r as (select collection, path, sha256, length,
  row_number() over (partition by collection, path order by listed_at, file_id) a,

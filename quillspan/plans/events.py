@@ -27,9 +27,9 @@ def _frames(s, d):
 
 
 def _replay(s, d):
-    """Every event once more under the same id, as a late joiner receives them."""
-    e = _events(s, d).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value")
-    return ev.deduplicated(e.unionByName(e), ["user_id", "event_id"])
+    """Delivered lines once: of several deliveries of a line the first."""
+    at = F.unix_micros(F.col("received_at").cast("timestamp"))
+    return ev.deduplicated(table(s, d, "packet_lines").select("packet_id", "page_no", "n", at.alias("at"), "words"), ["packet_id", "page_no", "n"])
 
 
 def _traces(s, d):
@@ -109,7 +109,17 @@ ORACLE = {
     "monotone_reject": """select event_id, coalesce(event_id <= max(event_id) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), false) rejected from events""",
     "ring_last_12": """select event_id, user_id, cast(a as int) age from (select event_id, user_id, row_number() over (partition by user_id order by ts desc, event_id desc) a from events) where a <= 12""",
     "running_stats": """select event_id, count("value") over w run_n, round(sum("value") over w, 4) run_sum from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)""",
-    "echo_dedupe": """select user_id, event_id, epoch_us(ts) "at", event_type, "value" from events""",
+    "echo_dedupe": """select packet_id, page_no, n, "at", words from (select packet_id, page_no, n, epoch_us(received_at) "at", words,
+ row_number() over (partition by packet_id, page_no, n order by received_at nulls first, words nulls first) rn from packet_lines) where rn = 1""",
+    "stage_marks": """
+with recursive m as (select l_orderkey trace, l_linenumber pos, ['drdy', 'spi_done', 'process', 'event', 'observer'][(l_linenumber - 1) % 5 + 1] stage, epoch_us(l_shipdate) ts,
+  row_number() over (partition by l_orderkey order by l_linenumber) k from (select distinct on (l_orderkey, l_linenumber) * from lineitem)),
+f as (select trace, 0 k, cast(null as int) pos, cast(null as varchar) stage, cast([] as varchar[]) seen, cast(null as bigint) latest, cast(null as varchar) code from (select distinct trace from m)
+ union all select trace, cast(k as int), pos, stage, case when code = 'OK' then list_append(seen, stage) else seen end, case when code = 'OK' then greatest(latest, ts) else latest end, code
+ from (select m.trace, m.k, m.pos, m.stage, m.ts, f.seen, f.latest, case when list_contains(f.seen, m.stage) then 'DUPLICATE_STAGE'
+  when not list_contains(f.seen, map {'spi_done': 'drdy', 'process': 'spi_done', 'event': 'process', 'observer': 'process'}[m.stage]) and m.stage <> 'drdy' then 'STAGE_ORDER'
+  when m.ts < f.latest then 'TIME_ORDER' else 'OK' end code from f join m on m.trace = f.trace and m.k = f.k + 1))
+select trace, cast(pos as int) pos, stage, code from f where k > 0""",
     "latest_serial": "select user_id, max(event_id) max_serial, count(*) replayed from events group by 1",
     "frame_errors": """
 with f as (select event_id seq, case when event_type = 'error' then 'other' else 'sig/1' end p, "value" * 20 rate,

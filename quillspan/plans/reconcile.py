@@ -13,13 +13,12 @@ def _orders(s, d):
     return o, li
 
 
-def _missing_nations(s, d):
-    """Region-nation pairs that every region should hold of its suppliers' nations, without the ones it has."""
-    need = table(s, d, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"))
-    have = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation")
-    )
-    return rc.difference(need, have, ["region", "nation"])
+def _missing_priorities(s, d):
+    """Customer-priority pairs that every ordering customer should hold, without the ones that orders have."""
+    have = table(s, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("priority"))
+    every = F.array(*[F.lit(p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
+    need = have.select("custkey").distinct().select("custkey", F.explode(every).alias("priority"))
+    return rc.difference(need, have, ["custkey", "priority"])
 
 
 def _keys(s, d):
@@ -73,7 +72,7 @@ def _metadata(s, d):
 QUERIES = {
     "orders_without_lines": lambda s, d: rc.difference(*_orders(s, d), ["orderkey"]),
     "orders_symmetric": lambda s, d: rc.symmetric_difference(*_orders(s, d), ["orderkey"]),
-    "expected_subset": _missing_nations,
+    "expected_subset": _missing_priorities,
     "unknown_json_keys": _keys,
     "document_verdicts": _document_verdicts,
     "path_rollup": _paths,
@@ -85,8 +84,8 @@ ORACLE = {
     "orders_without_lines": "select distinct o_orderkey orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)",
     "orders_symmetric": """select coalesce(a.k, b.k) orderkey, case when b.k is null then 'left' else 'right' end side
 from (select distinct o_orderkey k from orders) a full join (select distinct l_orderkey k from lineitem) b on a.k = b.k where a.k is null or b.k is null""",
-    "expected_subset": """select n_regionkey region, n_nationkey nation from nation except
-select n_regionkey, n_nationkey from supplier join nation on s_nationkey = n_nationkey""",
+    "expected_subset": """select custkey, priority from (select distinct o_custkey custkey from orders), (select unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) priority)
+except select o_custkey, o_orderpriority from orders""",
     "unknown_json_keys": """select event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k not in ('source', 'page'))), ',') "unknown" from events""",
     "document_verdicts": """
 with c as (select doc_id,

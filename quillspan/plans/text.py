@@ -63,7 +63,7 @@ QUERIES = {
     "date_like_lines": lambda s, d: _lines(s, d).where(tx.is_date_like(F.col("text"))).select("packet_id", "page_no", "n", "text"),
     "page_number_lines": lambda s, d: _lines(s, d).where(tx.is_page_number(F.col("text"))).select("packet_id", "page_no", "n"),
     "sentence_breaks": lambda s, d: _docs(s, d).select("doc_id", tx.sentence_breaks(F.col("text")).cast("long").alias("breaks")),
-    "plain_names": lambda s, d: table(s, d, "engines").select("engine").distinct().where(tx.looks_like_name(F.col("engine"))),
+    "plain_names": lambda s, d: table(s, d, "candidates").select("engine").distinct().where(tx.looks_like_name(F.col("engine"))),
     "slugs": lambda s, d: table(s, d, "files").select("file_id", tx.slug(F.col("path"), F.col("file_id").cast("string")).alias("slug")),
     "unsafe_paths": lambda s, d: table(s, d, "files").where(tx.is_unsafe_path(F.col("path"))).select("file_id", "path"),
     "safe_fields": lambda s, d: table(s, d, "documents").select(
@@ -72,7 +72,7 @@ QUERIES = {
     "forbidden_terms": lambda s, d: _docs(s, d).select(
         "doc_id", F.array_join(tx.contained_terms(F.col("text"), ["Orchard", "voltage", "key", "verdict"]), ",").alias("terms")
     ),
-    "rot13": lambda s, d: table(s, d, "notebooks").select("notebook_id", tx.rotated(F.col("title"), 13).alias("rot13"), tx.rotated(F.col("title"), 3).alias("caesar3")),
+    "rot13": lambda s, d: _docs(s, d).select("doc_id", tx.rotated(F.col("text"), 13).alias("rot13"), tx.rotated(F.col("text"), 3).alias("caesar3")),
     "sniffed_formats": lambda s, d: table(s, d, "files").select("file_id", tx.sniffed_format(F.col("path"), F.col("head")).alias("format")),
     "number_syllables": _numbers,
     "vowel_groups": lambda s, d: _words(_docs(s, d)).select("word", sy.vowel_groups(F.col("word")).cast("long").alias("groups")),
@@ -102,7 +102,7 @@ ORACLE = {
 select packet_id, page_no, n, "text" from t where {DATES}""",
     "page_number_lines": _LINES + r""" select packet_id, page_no, n from lines where regexp_matches(coalesce("text", ''), '^\W*\d+\W*$')""",
     "sentence_breaks": r"""select doc_id, len(regexp_extract_all("text", '[.!?]\s+[A-Z]')) breaks from documents""",
-    "plain_names": "select distinct engine from engines where regexp_matches(engine, '^[A-Za-z]+$') and length(engine) >= 3",
+    "plain_names": "select distinct engine from candidates where regexp_matches(engine, '^[A-Za-z]+$') and length(engine) >= 3",
     "slugs": r"""select file_id, left(regexp_replace(path, '[^A-Za-z0-9_.\-]+', '_', 'g'), 120) || '__' || file_id slug from files""",
     "unsafe_paths": """select file_id, path from files where path like '/%' or contains(path, chr(92)) or list_contains(string_split(path, '/'), '..')""",
     "safe_fields": r"""select doc_id, left(regexp_replace(coalesce(title, ''), '[\x00-\x1f<>]', '', 'g'), 18) title,
@@ -111,9 +111,9 @@ select packet_id, page_no, n, "text" from t where {DATES}""",
   then regexp_replace(lang, '^\s+|\s+$', '', 'g') end color from documents""",
     "forbidden_terms": """select doc_id, array_to_string(list_filter(['Orchard', 'voltage', 'key', 'verdict'],
  lambda t: contains(lower("text"), lower(t))), ',') terms from documents""",
-    "rot13": """select notebook_id, translate(title, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ',
- 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') rot13, translate(title, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ',
- 'defghijklmnopqrstuvwxyzabcDEFGHIJKLMNOPQRSTUVWXYZABC') caesar3 from notebooks""",
+    "rot13": """select doc_id, translate("text", 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') rot13, translate("text", 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'defghijklmnopqrstuvwxyzabcDEFGHIJKLMNOPQRSTUVWXYZABC') caesar3 from documents""",
     "sniffed_formats": r"""with f as (select file_id, lower(regexp_extract(path, '(\.[^./]+)$', 1)) x, lower(left(coalesce(head, ''), 4000)) h from files)
 select file_id, case when x in ('.hocr', '.html', '.htm', '.xhtml') or contains(h, 'ocr_page') or contains(h, 'ocrx_word') then 'hocr'
  when x = '.xml' or starts_with(ltrim(h), '<?xml') then case when contains(h, '<alto') or contains(left(h, 600), 'alto') then 'alto'
