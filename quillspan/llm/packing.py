@@ -293,3 +293,15 @@ def report(assigned: DataFrame) -> DataFrame:
         (F.sum("t") / (F.count(F.lit(1)) * F.first("capacity"))).alias("filled"),
         F.max("t").alias("fullest"),
     )
+
+
+def invariants(assigned: DataFrame) -> DataFrame:
+    """Per container: texts placed, containers over capacity, pieces placed more than once, texts split that would fit."""
+    kind = ["container", "capacity"]
+    bins = assigned.groupBy(*kind, "bin").agg(F.sum("tokens").alias("t")).groupBy(*kind).agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"))
+    texts = assigned.groupBy(*kind, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("p"), F.sum("tokens").alias("t"))
+    per = texts.groupBy(*kind).agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if(F.col("n") > F.col("p")).alias("repeated"),
+        F.count_if((F.col("p") > 1) & (F.col("t") <= F.col("capacity"))).alias("split_without_need"),
+    )
+    return per.join(bins, kind)

@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from quillspan.session import cut
 
+#: The reason that the trees give.
+SHARED = "vendored: shared subtree"
 #: The share of its files that a collection must have in common with another, place by place, to be of its origin.
 FORK_SHARE = 0.5
 #: Rows (two names) of the table of forks that a broadcast may have.
@@ -253,5 +255,5 @@ def judged(files: DataFrame) -> DataFrame:
     out = base.join(marked, ["_d1", "_d2"], "left").join(single.withColumn("_single", F.lit(True)), ["_c1", "_c2"], "left")
     # the mark of a directory says false (a copy), true (at home) or nothing
     shared = ~F.coalesce("home", ~(F.col("_tells") & F.col("_single").isNotNull()))
-    reasons = F.concat("_unwritten", F.when(shared, F.array(F.lit("vendored: shared subtree"))).otherwise(F.col("_copied")))
+    reasons = F.concat("_unwritten", F.when(shared, F.array(F.lit(SHARED))).otherwise(F.col("_copied")))
     return out.select("file_id", "collection", "path", reasons.alias("reasons")).withColumn("handwritten", F.size("reasons") == 0)

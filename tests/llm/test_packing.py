@@ -118,3 +118,9 @@ def test_tokens(spark):
     df = counted(spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "ü" * 5000)], "doc_id int, text string"))
     n = {r.doc_id: r.n_tokens for r in df.collect()}
     assert (n[1], n[2], n[3]) == (2, 0, 0) and n[4] > 1000
+
+
+def test_invariants_show_what_is_broken(spark):
+    rows = [("c", 10, 1, 0, 6, "a"), ("c", 10, 2, 0, 6, "a"), ("c", 10, 3, 0, 4, "b"), ("c", 10, 3, 0, 4, "d"), ("c", 10, 4, 0, 3, "e"), ("c", 10, 4, 1, 3, "f")]
+    r = pk.invariants(spark.createDataFrame(rows, pk._OUT)).first()
+    assert (r.texts, r.overfull, r.repeated, r.split_without_need) == (4, 1, 1, 1)
