@@ -82,6 +82,16 @@ def running(events: DataFrame, key: str, order: list[str], value: str) -> DataFr
     return out.withColumn("run_avg", F.col("run_sum") / F.nullif(F.col("run_n"), F.lit(0))).select(*events.columns, "run_n", "run_sum", "run_avg")
 
 
+def streaks(events: DataFrame, key: str, order: list[str], hit: Column) -> DataFrame:
+    """``events`` + streak: how many hits in a row end with each event; 0 where it is none. In two levels."""
+    told = running(events.withColumn("_one", F.lit(1)).withColumn("_hit", F.coalesce(hit, F.lit(False))), key, order, "_one")
+    b = blocked(told, order[0]).withColumn("_miss", F.when(~F.col("_hit"), F.col("run_n")))
+    before = _handed_on(b, key, _last=(F.max("_miss"), F.max))
+    w = Window.partitionBy(key, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.coalesce(F.max("_miss").over(w), F.col("_last"), F.lit(0))
+    return b.join(before, [key, "_blk"], "left").withColumn("streak", F.col("run_n") - last).select(*events.columns, "streak")
+
+
 #: The shape of a frame.
 FRAME_RATES, FRAME_SAMPLES, CHANNEL = (32, 2048), 1024, "^[A-Za-z0-9_.-]{1,24}$"
 

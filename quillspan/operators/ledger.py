@@ -320,3 +320,16 @@ def tiles(spark, rules: Rules = DEFAULT) -> DataFrame:
 def tiered_rent(owned: Column, rules: Rules = DEFAULT) -> Column:
     tiers = rules.exchange_rent
     return F.element_at(F.array(*[F.lit(t) for t in tiers]), F.least(F.greatest(owned, F.lit(1)), F.lit(len(tiers))).cast("int"))
+
+
+def next_alive(alive: Column, at: Column) -> Column:
+    """Whose turn comes after seat ``at``: the next one alive in circular order, itself where no other is."""
+    n = F.size(alive)
+    seats = F.transform(F.sequence(F.lit(1), n), lambda k: F.pmod(at + k, n).cast("int"))
+    return F.coalesce(F.get(F.filter(seats, lambda i: F.get(alive, i)), F.lit(0)), at.cast("int"))
+
+
+def last_alive(players: DataFrame, game: str, player: str, alive: Column) -> DataFrame:
+    """(game, alive, winner): how many are left, and who where it is one."""
+    left = F.count_if(alive)
+    return players.groupBy(game).agg(left.alias("alive"), F.when(left == 1, F.min(F.when(alive, F.col(player)))).alias("winner"))

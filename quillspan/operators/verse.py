@@ -243,12 +243,10 @@ def revalidated(replies: DataFrame, known_lines: DataFrame, exceptions: DataFram
     )
     r = replies.join(per, "reply_id", "left").join(missing, "reply_id", "left")
     total = F.col("total")
+    read, made = (F.coalesce(c, F.expr("cast(array() as array<string>)")) for c in ("ocr_lines", "lines"))
+    both = F.least(F.size(read), F.size(made))
     pairs = F.filter(
-        F.zip_with(
-            F.slice(F.coalesce("ocr_lines", F.array()), F.lit(1), F.least(F.size(F.coalesce("ocr_lines", F.array())), F.size("lines"))),
-            F.slice("lines", F.lit(1), F.least(F.size(F.coalesce("ocr_lines", F.array())), F.size("lines"))),
-            lambda a, b: F.struct(a.alias("ocr"), b.alias("model")),
-        ),
+        F.zip_with(F.slice(read, F.lit(1), both), F.slice(made, F.lit(1), both), lambda a, b: F.struct(a.alias("ocr"), b.alias("model"))),
         lambda p: tx.strip(p["ocr"]) != tx.strip(p["model"]),
     )
     return r.select(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalog", "text", "transcript", "nested", "reconcile", "events", "codec", "ledger", "formats"]
+MODULES = ["catalog", "text", "transcript", "nested", "reconcile", "events", "codec", "ledger", "formats", "replies"]
 
 
 def collect(kind: str) -> dict:

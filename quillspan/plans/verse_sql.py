@@ -58,7 +58,7 @@ use as (select win.*, tw, a.par_id = b.par_id and b.par_id = c.par_id same, {_AL
  [{", ".join(_DEVIATION)}] devs, {_SAID} said from win left join widths using (packet_id, page_no) where c is not null and a.ok and b.ok and c.ok),
 pts as (select *, list_sum(devs) deviation, {_PLACE} place, list_max(devs) <= 1 and list_sum(devs) <= 2 hit,
  a.par_id = c.par_id and a.par_size = 3 and said between 8 and 17 and {_MOST("{0}.hi")} <= 9 and wc <= 6 free from use),
-cands as (select packet_id, page_no, n, [a.n, b.n, c.n] ns, cast(deviation as int) deviation,
+cands as (select packet_id, page_no, n, [a.n, b.n, c.n] ns, [a.t, b.t, c.t] ts, cast(deviation as int) deviation,
  cast(greatest(0, least(1000, case when hit and deviation = 0 then 1000 + place when hit then least(950, 1000 - 150 * deviation + place) else least(800, 550 + place) end)) as int) milli,
  case when hit and deviation = 0 then '5-7-5' when hit then '5-7-5 (approximate)' else 'free-form 3-line' end form,
  case when hit and deviation = 0 then 'exact' when hit then 'approximate (off by ' || cast(deviation as int) || ')' else 'not 5-7-5 (short modern form)' end validation from pts where hit or free)

@@ -218,3 +218,22 @@ def test_running(spark):
     e = spark.createDataFrame([(1, t, 2.0), (1, t + dt.timedelta(1), None), (1, t + dt.timedelta(2), 4.0)], "k int, ts timestamp, v double")
     assert rows(ev.running(e, "k", ["ts"], "v"), "run_n", "run_avg") == [(1, 2.0), (1, 2.0), (2, 3.0)]
     assert rows(ev.ring(e, "k", [F.desc("ts")], 2), "age") == [(1,), (2,)]
+
+
+def test_turns_and_last_players(spark):
+    from quillspan.operators import ledger as lg
+
+    rows = [([True, False, True], 0, 2), ([True, False, True], 2, 0), ([False, True], 1, 1), ([False, False], 0, 0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k int, alive array<boolean>, at int, want int")
+    assert all(r.got == r.want for r in df.withColumn("got", lg.next_alive(F.col("alive"), F.col("at"))).collect())
+    p = spark.createDataFrame([("g", "a", True), ("g", "b", False), ("h", "a", True), ("h", "b", True), ("i", "a", None)], "game string, player string, alive boolean")
+    got = {r.game: (r.alive, r.winner) for r in lg.last_alive(p, "game", "player", F.col("alive")).collect()}
+    assert got == {"g": (1, "a"), "h": (2, None), "i": (0, None)}
+
+
+def test_streaks(spark):
+    hits = [True, True, False, None, True, True, True, False]
+    df = spark.createDataFrame([("k", i, h) for i, h in enumerate(hits)] + [("l", 3, True)], "key string, at int, hit boolean")
+    got = {(r.key, r["at"]): r.streak for r in ev.streaks(df, "key", ["at"], F.col("hit")).collect()}
+    assert [got["k", i] for i in range(8)] == [1, 2, 0, 0, 1, 2, 3, 0] and got["l", 3] == 1
+    assert ev.streaks(df.limit(0), "key", ["at"], F.col("hit")).count() == 0
