@@ -31,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input is one of a few small pieces; elsewhere as it is.
+
+    For work that costs much more than its rows. A file that cannot be split is one task, however many cores wait; an input
+    of many pieces, as every large one is, is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder and drop its lineage.
 
