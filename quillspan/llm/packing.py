@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.tokens import VOCABULARY, counted
-from quillspan.session import cut
+from quillspan.session import cut, spread
 
 LARGE = 4  # a text above capacity / LARGE is large
 UNITS = 512  # sizes are rounded up to capacity / UNITS for pricing
@@ -47,29 +47,32 @@ def linear_groups(sizes: np.ndarray, counts: np.ndarray, groups: int = GROUPS) -
 
 
 def price(value: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
-    """The configuration of most value that fits: an unbounded knapsack over whole units."""
-    best = np.zeros(room + 1)
-    took = np.full(room + 1, -1)
-    use = np.flatnonzero(value > 1e-12)
+    """The configuration of most value that fits: an unbounded knapsack over whole units, one more text a round.
+
+    Large texts are more than a quarter of the room, so that there are three rounds at most.
+    """
     out = np.zeros(len(size), dtype=np.int64)
+    use = np.flatnonzero((value > 1e-12) & (size <= room))
     if not len(use):
         return out
     s, v = size[use], value[use]
-    for c in range(1, room + 1):
-        best[c], took[c] = best[c - 1], -1
-        fits = s <= c
-        if fits.any():
-            got = best[c - s[fits]] + v[fits]
-            k = int(got.argmax())
-            if got[k] > best[c] + 1e-12:
-                best[c], took[c] = got[k], int(use[fits][k])
+    left = np.arange(room + 1)[None, :] - s[:, None]
+    fits, left = left >= 0, np.maximum(left, 0)
+    best, took = np.zeros(room + 1), []
+    for _ in range(room // int(s.min())):
+        got = np.where(fits, best[left] + v[:, None], -1.0)
+        k = got.argmax(0)
+        most = got[k, np.arange(room + 1)]
+        more = most > best + 1e-12
+        if not more.any():
+            break
+        took.append(np.where(more, k, -1))
+        best = np.where(more, most, best)
     c = room
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            out[took[c]] += 1
-            c -= int(size[took[c]])
+    for k in reversed(took):
+        if k[c] >= 0:
+            out[use[k[c]]] += 1
+            c -= int(s[k[c]])
     return out
 
 
@@ -220,7 +223,7 @@ def packed(
 ) -> DataFrame:
     """(container, capacity, doc_id, piece, tokens, bin): where every text goes, for each container."""
     spark = documents.sparkSession
-    sized = cut(counted(documents.select("doc_id", "text"), tokenizer).select("doc_id", "n_tokens"))
+    sized = cut(counted(spread(documents.select("doc_id", "text")), tokenizer).select("doc_id", "n_tokens"))
     every = pieces(sized, containers)
     whole = every.where("tokens = capacity").withColumn(
         "bin", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece").cast("string"))
@@ -266,18 +269,18 @@ def packed(
     n_large = sum(r[0] for r in rows.values())
     large = cut(_numbered(marked.where("grp >= 0"), n_large, 10 * shard_rows).mapInPandas(placed, _OUT))
     shards = {k: max(1, max(r[1], r[2]) // shard_rows + 1) for k, r in rows.items()}
-    spread = F.lit(1)
+    shard_of = F.lit(1)
     for (name, capacity), n in shards.items():  # a few containers
-        spread = F.when((F.col("container") == name) & (F.col("capacity") == capacity), n).otherwise(spread)
+        shard_of = F.when((F.col("container") == name) & (F.col("capacity") == capacity), n).otherwise(shard_of)
     rooms = (
         large.groupBy("container", "capacity", "bin")
         .agg((F.col("capacity") - F.sum("tokens")).cast("int").alias("tokens"))
         .select("container", "capacity", F.lit(-1).cast("long").alias("doc_id"), F.lit(-1).alias("piece"), "tokens", "bin",
-                F.pmod(F.xxhash64("bin"), spread).cast("int").alias("shard"))
+                F.pmod(F.xxhash64("bin"), shard_of).cast("int").alias("shard"))
     )
     small = marked.where("grp < 0").select(
         "container", "capacity", "doc_id", "piece", "tokens", F.lit("").alias("bin"),
-        F.pmod(F.xxhash64("doc_id", "piece"), spread).cast("int").alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "piece"), shard_of).cast("int").alias("shard"),
     )
     filled = rooms.unionByName(small).groupBy("container", "capacity", "shard").applyInPandas(best_fit, _OUT)
     return whole.select(large.columns).unionByName(large).unionByName(filled)
