@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.tokens import VOCABULARY, counted
-from quillspan.session import cut
+from quillspan.session import cut, spread
 
 #: A value of ``total``: no text of a source with a share is left out.
 WHOLE = "whole"
@@ -107,7 +107,7 @@ def _named(col: str):
 def texts(documents: DataFrame, targets: DataFrame, tokenizer: str = VOCABULARY) -> DataFrame:
     """(source, doc_id, n_tokens): each source's different texts."""
     listed = targets.select(_named("source").alias("source")).where("source is not null").distinct()
-    own = documents.select("doc_id", "text", _named("source").alias("source")).join(
+    own = spread(documents.select("doc_id", "text", "source")).select("doc_id", "text", _named("source").alias("source")).join(
         F.broadcast(listed), "source", "left_semi"  # the targets table is fixed in size
     )
     # equal texts of a source are of one size; combined before the shuffle, which moves hashes instead of texts

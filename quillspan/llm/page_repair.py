@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.session import cut
+from quillspan.session import cut, spread
 
 BLOCK_PAGES, SLICE_LINES, HALO_LINES = 64, 5000, 8
 LEAST_BITS, MOST_BITS, DEPTH = 12, 22, 3
@@ -786,6 +786,7 @@ def fitted(lines: DataFrame, notebooks: DataFrame, fit_pages: int = 1500, fit_li
 def _passed(lines: DataFrame, notebooks: DataFrame, fit_pages: int, narrow: bool):
     """The lines in blocks, the model, and the broadcast sketches."""
     model = fitted(lines, notebooks, fit_pages)
+    lines = spread(lines.select("packet_id", "page_no", "n", "notebook_id", "par_size", "gap_before", "received_at", "text"))
     # a bounded number of cells, whatever the size of the corpus
     held = lines.sparkSession.sparkContext.broadcast(sketched(lines.select(F.coalesce("text", F.lit("")).alias("text"))))
     seen = featured(lines, notebooks)

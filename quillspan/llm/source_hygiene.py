@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.session import cut
+from quillspan.session import cut, spread
 
 #: The reason that the trees give.
 SHARED = "vendored: shared subtree"
@@ -249,6 +249,7 @@ def vendored_places(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def judged(files: DataFrame) -> DataFrame:
     """(file_id, collection, path, reasons, handwritten) for every listing."""
     unwritten, copied = file_rules()
+    files = spread(files.select("file_id", "collection", "path", "length", "line_count", "sha256", "head"))
     leaves = placed(files).withColumn("_path", clean_path(F.col("path")))
     base = leaves.select("file_id", "collection", "path", "_d1", "_d2", "_c1", "_c2", "_tells", unwritten.alias("_unwritten"), copied.alias("_copied"))
     marked, single = vendored_places(files)

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.session import cut
+from quillspan.session import cut, spread
 
 #: Words that tell the languages apart.
 LANGUAGE_WORDS = {
@@ -375,7 +375,7 @@ def trained(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p: Par
     order = np.argsort(code)
     held = spark.sparkContext.broadcast((words, code[order]))
     back = (
-        documents.select("text")
+        spread(documents.select("text"))
         .mapInPandas(lambda f: _background(f, *held.value), "lang int, k long, n double")
         .groupBy("lang", "k")
         .agg(F.sum("n").alias("n"))
@@ -408,7 +408,7 @@ def _scored(documents: DataFrame, models: list[Model], margin: float) -> DataFra
 
 
 def shares(documents: DataFrame, model: Model, margin: float = Params.margin) -> DataFrame:
-    return _scored(documents.select("doc_id", "text"), [model], margin)
+    return _scored(spread(documents.select("doc_id", "text")), [model], margin)
 
 
 def calibrated(sample: DataFrame, halves: list[Model], size: int, p: Params) -> list[Params]:

@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.session import spread
+
 #: Words that clauses need and bare items do without (and, for, of and articles are left out on purpose).
 CLAUSE_WORDS = {
     "en": "is are was were be been has have had did does do not no nothing i we he she they it you my our his her its "
@@ -90,7 +92,7 @@ def _among(words: Column, known: list[str]) -> Column:
 def text_statistics(documents: DataFrame) -> DataFrame:
     """One row per document with the counts that the rules need; everything in whole numbers."""
     t = F.coalesce("text", F.lit(""))
-    d = documents.select("doc_id", t.alias("_t"), F.lower(t).alias("_l"))
+    d = spread(documents.select("doc_id", "text")).select("doc_id", t.alias("_t"), F.lower(t).alias("_l"))
     t, low = F.col("_t"), F.col("_l")
     tabular = t
     for p, marks in zip(ROW_PATTERNS, ROW_MARKS, strict=True):
