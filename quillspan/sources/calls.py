@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,8 +19,37 @@ class Transient(Exception):
     """A failure worth another attempt."""
 
 
-def with_retries(send: Transport, attempts: int = 4, pause: Callable[[float], None] = time.sleep) -> Transport:
-    """Up to ``attempts`` tries, 2^k seconds apart."""
+#: Answers of a server that may pass.
+PASSING = (408, 409, 429, 500, 502, 503, 504)
+
+
+def http(url: str, headers: dict, body: str | None, timeout: float) -> str:
+    """The transport over HTTP: POST, or GET without a body. What may pass is :class:`Transient`, the rest an error."""
+    request = urllib.request.Request(url, data=None if body is None else body.encode(), headers=headers)
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return answer.read().decode("utf-8")
+    except urllib.error.HTTPError as e:
+        said = f"HTTP {e.code}: {e.read().decode('utf-8', 'replace')[:2000]}"
+        raise (Transient(said) if e.code in PASSING else ValueError(said)) from e
+    except urllib.error.URLError as e:
+        raise Transient(f"cannot reach {url}: {e.reason}") from e
+
+
+def doubling(k: int) -> float:
+    """2^k seconds."""
+    return 2.0**k
+
+
+def linear(k: int) -> float:
+    """2 (k + 1) seconds, as for the pieces of a transfer (six attempts)."""
+    return 2.0 * (k + 1)
+
+
+def with_retries(
+    send: Transport, attempts: int = 4, pause: Callable[[float], None] = time.sleep, wait: Callable[[int], float] = doubling
+) -> Transport:
+    """Up to ``attempts`` tries, ``wait(k)`` seconds after the k-th failure."""
 
     def run(url: str, headers: dict, body: str, timeout: float) -> str:
         for k in range(attempts):
@@ -27,7 +58,7 @@ def with_retries(send: Transport, attempts: int = 4, pause: Callable[[float], No
             except Transient:
                 if k == attempts - 1:
                     raise
-                pause(2.0**k)
+                pause(wait(k))
         raise AssertionError
 
     return run

@@ -219,3 +219,38 @@ def test_history(spark, tmp_path):
     sinks.write_history(df, str(tmp_path / "h"))
     lines = [x for p in sorted((tmp_path / "h").glob("part-*")) for x in p.read_text().splitlines()]
     assert lines[0] == "ts,event_type,value" and [x.split(",")[1] for x in lines if "event" not in x] == ["a", "b"]
+
+
+def test_http_transport_tells_what_may_pass():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Server(BaseHTTPRequestHandler):
+        def answer(self):
+            seen.append((self.command, self.rfile.read(int(self.headers.get("content-length") or 0)).decode()))
+            code = {"/busy": 503, "/gone": 404}.get(self.path, 200) if len(seen) < 4 or self.path == "/gone" else 200
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(f"{self.path} said".encode())
+
+        do_GET = do_POST = answer
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, waits = f"http://127.0.0.1:{server.server_port}", []
+    try:
+        assert calls.http(f"{base}/a", {}, "x", 5) == "/a said" and seen == [("POST", "x")]
+        assert calls.with_retries(calls.http, 6, waits.append, calls.linear)(f"{base}/busy", {}, None, 5) == "/busy said"
+        assert waits == [2.0, 4.0] and seen[-1] == ("GET", "")
+        with pytest.raises(ValueError, match="HTTP 404"):
+            calls.http(f"{base}/gone", {}, None, 5)
+    finally:
+        server.shutdown()
+    with pytest.raises(calls.Transient):
+        server.server_close()
+        calls.http(base, {}, None, 0.5)

@@ -77,3 +77,27 @@ def test_fan_out(spark, feed, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen[0]) == 2 and max(seen[1]) == 2
+
+
+def test_updates_are_replayed_from_any_serial(spark, tmp_path):
+    from quillspan.sources.updates import updates
+
+    log = tmp_path / "log"
+    log.write_text("".join(f"{i}\tu{i}\n" for i in range(1, 6)))
+    path = str(log)
+
+    def fetch(after):
+        rows = [line.rstrip("\n").split("\t") for line in open(path)]
+        return [(int(a), b) for a, b in rows if int(a) > after]
+
+    def read(after, stop):
+        q = updates(spark, f"updates{after}", fetch, after).writeStream.format("memory").queryName(f"u{after}").start()
+        q.processAllAvailable()
+        with open(path, "a") as f:
+            f.write(stop)
+        q.processAllAvailable()
+        q.stop()
+        return [tuple(r) for r in spark.table(f"u{after}").orderBy("serial").collect()]
+
+    assert read(0, "6\tu6\n") == [(i, f"u{i}") for i in range(1, 7)]
+    assert read(4, "7\tu7\n") == [(i, f"u{i}") for i in range(5, 8)]
