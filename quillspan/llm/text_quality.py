@@ -119,16 +119,17 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         F.size(F.array_distinct(lines)).cast("long").alias("n_distinct_lines"),
         F.size(F.filter(lines, lambda x: F.length(x) < 30)).cast("long").alias("n_short_lines"),
         F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in STOP_WORDS]))).cast("long").alias("n_stop_words"),
-        _n(t, r"(?<!\S)[^\s\p{L}]+(?!\S)").alias("n_letterless_tokens"),
+        # begins with the rare character and looks back
+        _n(t, r"[^\s\p{L}](?<!\S[\s\S])[^\s\p{L}]*+(?!\S)").alias("n_letterless_tokens"),
         _n(t, r"#|\.\.\.|…").alias("n_hashes_and_ellipses"),
         F.when(t.rlike(r"\.\.\.|…"), _n(t, r"(?m)(?:\.\.\.|…)[ \t]*$")).otherwise(0).cast("long").alias("n_ellipsis_lines"),
         F.size(words).cast("long").alias("n_words"),
         F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
         F.length(F.regexp_replace(t, r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
-        F.length(F.regexp_replace(t, r"[^\p{Nd}]+", "")).cast("long").alias("n_digits"),
+        _n(t, r"\p{Nd}").alias("n_digits"),
         F.length(F.regexp_replace(low, r"[^aeiouyäöüàâéèêëîïôûœ]+", "")).cast("long").alias("n_vowels"),
-        F.length(F.regexp_replace(t, r"[^#…_~^|\\<>{}\[\]=*/%]+", "")).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(t, r"[^ÃÂ€™�¢¬]+", "")).cast("long").alias("n_mojibake"),
+        _n(t, r"[#…_~^|\\<>{}\[\]=*/%]").alias("n_symbols"),
+        _n(t, r"[ÃÂ€™�¢¬]").alias("n_mojibake"),
         _n(t, r"\S+").alias("n_tokens"),
         F.when(t.rlike(r"\S{25}"), F.length(F.regexp_replace(t, r"(?<!\S)\S{1,24}(?!\S)|\s+", ""))).otherwise(0).cast("long").alias("ink_long_tokens"),
         # each alternative begins with the rare character and looks back
