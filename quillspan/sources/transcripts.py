@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, IntegerType, StructField, StructType
 
 from quillspan.functions.text import clean, strip
 
@@ -151,14 +154,33 @@ def _lines(markup: str | None) -> list[dict] | None:
     return lines
 
 
-def marked_lines(markup: str) -> Column:
-    """The lines of a page marked up by class names. HTML is not XML: taken apart by a tolerant parser, batch-wise."""
+#: Characters of markup whose lines are handed on at once: as Python values, lines and words take many times their markup.
+BATCH_CHARS = 1 << 20
 
-    @F.pandas_udf(LINE_SCHEMA)
-    def parse(batch: pd.Series) -> pd.Series:
-        return batch.map(_lines)
 
-    return parse(markup)
+def _handed_on(batches: Iterator[pa.RecordBatch], line: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """(key, markup) to (key, _i, ln): a row per line, in batches that a bounded amount of markup makes."""
+    for batch in batches:
+        rows, at, lines, held = [], [], [], 0
+        for i, markup in enumerate(batch.column(1)):
+            own = _lines(markup.as_py()) or []
+            rows += [i] * len(own)
+            at += range(len(own))
+            lines += own
+            held += len(markup.as_py() or "")
+            if held >= BATCH_CHARS or i == batch.num_rows - 1:
+                key = batch.column(0).take(pa.array(rows, pa.int32()))
+                yield pa.RecordBatch.from_arrays([key, pa.array(at, pa.int32()), pa.array(lines, line)], [batch.schema.names[0], "_i", "ln"])
+                rows, at, lines, held = [], [], [], 0
+
+
+def marked_lines(docs: DataFrame, key: str, markup: str) -> DataFrame:
+    """(key, _i, ln): the lines of pages marked up by class names. HTML is not XML: taken apart by a tolerant parser, batch-wise."""
+    pages = docs.select(key, markup)
+    line = DataType.fromDDL(LINE_SCHEMA).elementType
+    out = StructType([pages.schema[0], StructField("_i", IntegerType()), StructField("ln", line)])
+    to = to_arrow_type(line)
+    return pages.mapInArrow(lambda batches: _handed_on(batches, to), out)
 
 
 def parsed_marked(docs: DataFrame, key: str, markup: str) -> DataFrame:
@@ -166,7 +188,7 @@ def parsed_marked(docs: DataFrame, key: str, markup: str) -> DataFrame:
 
     A line's box is its own, else that of its words; its text that of its words, cleaned; conf their mean to one decimal.
     """
-    raw = docs.select(key, F.posexplode(marked_lines(markup)).alias("_i", "ln"))
+    raw = marked_lines(docs, key, markup)
     words = F.transform("ln.words", lambda w: w.withField("text", clean(w["text"])))
     spoken = F.filter(F.transform(words, lambda w: w["text"]), lambda t: t != "")
     text = F.when(F.size("ln.words") > 0, clean(F.array_join(spoken, " "))).otherwise(clean(F.col("ln.text")))

@@ -2,8 +2,11 @@ import io
 import struct
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from quillspan.functions.numbers import band_rms, source_box
 from quillspan.operators.reconcile import difference, package_verdict, symmetric_difference
@@ -45,6 +48,19 @@ def test_sloppy_markup():
     assert ts._lines("") == [] == ts._lines("</p></div>just text") and ts._lines(None) is None
 
 
+def test_marked_pages_are_handed_on_in_bounded_batches(spark, monkeypatch):
+    """Pages of one batch, more than may be held as Python values at once: several batches come out, and every line once."""
+    page = "<p class=ocr_par>" + "<span class=ocr_line><span class=ocrx_word>a</span></span>" * 20
+    monkeypatch.setattr(ts, "BATCH_CHARS", 3 * len(page))
+    line = to_arrow_type(DataType.fromDDL(ts.LINE_SCHEMA).elementType)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([None, "", *[page] * 98])], ["k", "m"])
+    got = list(ts._handed_on(iter([batch, batch.slice(0, 2), batch.slice(0, 0)]), line))
+    assert max(b.num_rows for b in got) == 60 and len(got) == 34
+    assert [(k, i) for b in got for k, i in zip(b["k"].to_pylist(), b["_i"].to_pylist(), strict=True)] == [(k, i) for k in range(2, 100) for i in range(20)]
+    rows = ts.parsed_marked(spark.createDataFrame([("x/1", page), (None, page)], "k string, m string"), "k", "m").collect()
+    assert sorted((r.k or "", r.n, r.text) for r in rows) == sorted((k, n, "a") for k in ("", "x/1") for n in range(1, 21))
+
+
 def test_alto(spark):
     got = ts.parsed_alto(spark.createDataFrame([(1, ALTO)], "k int, m string"), "k", "m").orderBy("n").collect()
     assert [(r.text, r.par_id, r.par_size, r.conf) for r in got] == [("Snow by", "tb_par", 2, 85.5), ("a quay", "tb_par", 2, None)]
