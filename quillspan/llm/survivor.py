@@ -6,15 +6,15 @@ are the consensus; the existing value closest to it (edit distance) is emitted,
 one that ranks first.
 
 Votes. ``weighted``: a value's vote is the summed weight (by trust) of its records. ``strict``: precedence; the record of
-best rank (trust, recency, id) outvotes all others together. A value that holds more than half of all votes wins every
-column of any alignment, and is the consensus; so values are aligned only in groups where none does. Under ``strict`` one
-value always does: the vote is settled by ranks alone and nothing is aligned.
+best rank (trust, recency, id) outvotes all others together, column by column. The values of every group and field are
+aligned under either vote. (A value that holds more than half of all votes wins every column of any alignment; under
+``strict`` one always does, so that the consensus is the value of the best-ranked record.)
 
-Scale. A strict vote is one aggregation by group that combines before the shuffle. For a weighted vote equal values are
-combined before the first shuffle (``groupBy(group, field, value)``); where no value has the majority, every part of the
-values is folded into one partial profile per group and field, and partials meet by group and are folded as a stream, one
-profile in memory at a time. Values are spread by group, field and a salt for that, so a group that holds a third of the
-rows costs ``SALTS`` partials; a partial is as large as the variety of tokens in a column times the columns.
+Scale. Equal values are combined before the first shuffle (``groupBy(group, field, value)``). Groups of up to ``BLOCK``
+records are then decided one after another where they meet. In larger ones every part of the values is folded into one
+partial profile per group and field, and partials meet by group and are folded as a stream, one profile in memory at a
+time. Values are spread by group, field and a salt for that, so a group that holds a third of the rows costs ``SALTS``
+partials; a partial is as large as the variety of tokens in a column times the columns.
 
 Defined results
 ---------------
@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,10 @@ _GROUP = ["packet_id", "page_no", "_lines"]
 _KEYS = [*_GROUP, "field"]
 #: Into so many parts the values of a group and field are spread for their partial profiles.
 SALTS = 32
+#: Records of a group up to which its values are aligned in one go; those of a larger one meet in partial profiles.
+BLOCK = 4096
+#: Values held before decided groups are handed on.
+_HELD = 50_000
 _GAP = "\x00"
 _FAR = (1 << 30, 0, 0)
 
@@ -102,17 +107,6 @@ def ranked(candidates: DataFrame, engines: DataFrame, fields: list[str]) -> Data
     )
 
 
-def _by_precedence(base: DataFrame, fields: list[str]) -> DataFrame:
-    """The strict vote: per group and field the value of the best-ranked record that has one."""
-    best = [F.min(F.when(F.col(f"_v_{f}").isNotNull(), F.struct("_rank", F.col(f"_v_{f}").alias("value")))).alias(f"_b_{f}") for f in fields]
-    groups = base.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("_n"), F.min("candidate_id").alias("group_candidate_id"), *best)
-    won = [
-        F.struct(F.lit(f).alias("field"), F.col(f"_b_{f}._rank._id").alias("candidate_id"), F.col(f"_b_{f}.value").alias("value"))
-        for f in fields
-    ]
-    return groups.where("_n >= 2").select("group_candidate_id", F.inline(F.array(*won))).where("value is not null")
-
-
 def ranked_values(base: DataFrame, fields: list[str]) -> DataFrame:
     """Long form: one row per group, field and distinct usable value, with its best record and summed weight."""
     # '' is the membership row: it carries group size and smallest id, whatever is usable
@@ -247,6 +241,48 @@ def _fold(frames, read) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=[*_KEYS, "profile"])
 
 
+_ELECTION = "group_candidate_id long, field string, consensus string, ids array<long>, choices array<string>"
+
+
+def _elections(batches: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.RecordBatch]:
+    """Values, sorted by group, field and rank, to the consensus of each group and field beside the values it may fall on.
+
+    Each group begins with its membership row; a record alone is in no group. A value's place in its run is its rank.
+    """
+    group, first, field, out, held = None, None, None, [], 0
+    run: list[tuple] = []
+
+    def decided() -> tuple:
+        profile: list[dict] = []
+        for i, (_, value, weight) in enumerate(run):
+            profile = align(profile, single(tokens(value), (weight, (i, 0, 0))))
+        return first, field, _joined(consensus(profile, strict)), [r[0] for r in run], [r[1] for r in run]
+
+    def handed_on() -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
+        columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        names = ["group_candidate_id", "field", "consensus", "ids", "choices"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    for batch in batches:
+        for *g, f, value, weight, rank_id, n, first_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if g != group or f != field:
+                if run:
+                    out.append(decided())
+                    held, run = held + len(run), []
+                    if held >= _HELD:
+                        yield handed_on()
+                        out, held = [], 0
+                if g != group:
+                    group, first = g, first_id if n >= 2 else None
+                field = f
+            if f and first is not None:
+                run.append((rank_id, value, weight))
+    if run:
+        out.append(decided())
+    yield handed_on()
+
+
 def elected(values: DataFrame, strict: bool = False) -> DataFrame:
     """(group, field, consensus): the elected tokens of each group and field."""
     flat = values.select(
@@ -275,8 +311,10 @@ def _joined(toks: list[str]) -> str:
 def survivors(candidates: DataFrame, engines: DataFrame, fields: list[str] | None = None, strict: bool = True) -> DataFrame:
     """(group_candidate_id, field, candidate_id, value): for each group and field the record that serves it best."""
     fields = fields or ["score", "form", "validation"]
-    base = ranked(candidates, engines, fields)
-    return _by_precedence(base, fields) if strict else _by_weight(base, fields)
+    values = cut(ranked_values(ranked(candidates, engines, fields), fields))
+    # at most one group for every BLOCK records, so few that they can be broadcast
+    large = F.broadcast(values.where((F.col("field") == "") & (F.col("n") > BLOCK)).select(*_GROUP, F.col("first_id").alias("group_candidate_id")))
+    return _in_one_go(values.join(large, _GROUP, "left_anti"), strict).unionByName(_in_parts(values.where("field != ''").join(large, _GROUP), strict))
 
 
 def votes(base: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -288,19 +326,23 @@ def votes(base: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     return values, top.withColumn("_settled", F.col("_top.weight") * 2 > F.col("_all"))
 
 
-def _by_weight(base: DataFrame, fields: list[str]) -> DataFrame:
-    values, top = votes(base, fields)
-    top = cut(top)
-    groups = values.where("field = ''").where("n >= 2").select(*_GROUP, F.col("first_id").alias("group_candidate_id"))
-    settled = top.where("_settled").select(*_KEYS, F.col("_top.best._id").alias("candidate_id"), "_top.value")
-    # aligned are only groups where a vote is open
-    rest = values.where("field != ''").join(top.where("not _settled").select(*_KEYS), _KEYS, "left_semi")
-    distance = F.levenshtein("value", "consensus")
+def _in_one_go(values: DataFrame, strict: bool) -> DataFrame:
+    by_rank = ["best._trust", "best._age", "best._id"]
+    runs = values.repartition(*_GROUP).sortWithinPartitions(*_KEYS, *by_rank).select(*_KEYS, "value", "weight", "best._id", "n", "first_id")
+    closest = F.array_min(
+        F.transform(
+            F.arrays_zip("ids", "choices"),
+            lambda c, i: F.struct(F.levenshtein(c["choices"], F.col("consensus")).alias("d"), i.alias("i"), c["ids"].alias("candidate_id"), c["choices"].alias("value")),
+        )
+    )
+    elections = runs.mapInArrow(lambda batches: _elections(batches, strict), _ELECTION).select("group_candidate_id", "field", closest.alias("_s"))
+    return elections.select("group_candidate_id", "field", "_s.candidate_id", "_s.value")
+
+
+def _in_parts(values: DataFrame, strict: bool) -> DataFrame:
     closest = (
-        rest.join(elected(rest), _KEYS)
-        .groupBy(*_KEYS)
-        .agg(F.min_by(F.struct(F.col("best._id").alias("candidate_id"), "value"), F.struct(distance, "best")).alias("_s"))
-        .select(*_KEYS, "_s.candidate_id", "_s.value")
+        values.join(elected(values, strict), _KEYS)
+        .groupBy("group_candidate_id", *_KEYS)
+        .agg(F.min_by(F.struct(F.col("best._id").alias("candidate_id"), "value"), F.struct(F.levenshtein("value", "consensus"), "best")).alias("_s"))
     )
-    won = settled.unionByName(closest).join(groups, _GROUP)
-    return won.select("group_candidate_id", "field", "candidate_id", "value")
+    return closest.select("group_candidate_id", "field", "_s.candidate_id", "_s.value")
